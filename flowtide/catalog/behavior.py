@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from flowtide.catalog.registry import FLOWS, MARKED, SEED, final, flows, key_sql, query, rnd, split_sql
 from flowtide.catalog.rows import marked
 from flowtide.functions.columns import q
@@ -12,10 +10,11 @@ from flowtide.operators.sampling import stratified_split
 
 PAIR = ["src_ip", "dst_ip"]
 
-IAT = """iat AS (SELECT *, (epoch_us("timestamp") - lag(epoch_us("timestamp")) OVER (PARTITION BY src_ip, dst_ip ORDER BY "timestamp")) / 1e6 AS iat FROM {base})"""
-PERIODICITY = """pair_stats AS (SELECT src_ip, dst_ip, avg(iat) AS iat_mean, stddev_samp(iat) AS iat_std, quantile_cont(iat, 0.5) AS iat_median,
-  min(iat) AS iat_min, max(iat) AS iat_max, coalesce(stddev_samp(iat) / (avg(iat) + 1e-9), 0) AS iat_cv
-  FROM iat WHERE src_ip IS NOT NULL AND dst_ip IS NOT NULL GROUP BY src_ip, dst_ip)"""
+IAT = """iat AS (SELECT *, epoch_us("timestamp") - lag(epoch_us("timestamp")) OVER (PARTITION BY src_ip, dst_ip ORDER BY "timestamp") AS gap FROM {base})"""
+PERIODICITY = """_p AS (SELECT src_ip, dst_ip, CAST(sum(gap) AS DOUBLE) / count(gap) / 1000000.0::DOUBLE AS iat_mean, stddev_samp(gap) / 1e6 AS iat_std,
+  quantile_cont(gap, 0.5) / 1000000.0::DOUBLE AS iat_median, min(gap) / 1000000.0::DOUBLE AS iat_min, max(gap) / 1000000.0::DOUBLE AS iat_max
+  FROM iat WHERE src_ip IS NOT NULL AND dst_ip IS NOT NULL GROUP BY src_ip, dst_ip),
+  pair_stats AS (SELECT *, coalesce(iat_std / (iat_mean + 1e-9), 0) AS iat_cv FROM _p)"""
 FLOW_COUNTS = """_hours AS (SELECT src_ip, date_trunc('hour', "timestamp") AS h, count(*) AS c FROM {base} GROUP BY 1, 2),
   _spine AS (SELECT src_ip, unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM _hours GROUP BY src_ip),
   _filled AS (SELECT s.src_ip, coalesce(c, 0) AS c FROM _spine s LEFT JOIN _hours USING (src_ip, h)),
@@ -37,7 +36,12 @@ def consistency_sql(column: str, name: str, base: str, cte: str) -> str:
 # Training rows: the train part of the stratified split of all flows.
 SPLIT = f"{MARKED}, {split_sql('marked', 'is_malicious', key_sql('event_id'))}, train AS (SELECT * FROM parted WHERE split = 'train')"
 IAT_NAMES = ("iat_mean", "iat_std", "iat_median", "iat_min", "iat_max", "iat_cv")
-IAT_FILL = ", ".join(f"round(coalesce({c}, 0), 6) AS {c}" for c in IAT_NAMES)
+# Whole microseconds make these exact in both engines, so they need no rounding.
+EXACT = ("iat_mean", "iat_median", "iat_min", "iat_max")
+IAT_FILL = ", ".join(
+    f"coalesce({c}, 0::DOUBLE) AS {c}" if c in EXACT else f"round(coalesce({c}, 0), 6) AS {c}" for c in IAT_NAMES
+)
+IAT_ROUNDED = ", ".join(c if c in EXACT else f"round({c}, 6) AS {c}" for c in IAT_NAMES)
 COUNT_FILL = (
     "round(coalesce(flow_count_mean, 0), 6) AS flow_count_mean, round(coalesce(flow_count_std, 0), 6) AS flow_count_std, "
     "coalesce(flow_count_max, 0) AS flow_count_max, coalesce(flow_count_total, 0) AS flow_count_total"
@@ -56,21 +60,20 @@ def parted(spark, sf):
 
 def scored(df, *names):
     """Scores rounded to 4 digits (they reach 1e9), other doubles to 6."""
-    coarse = {n: F.round(q(n), 4).alias(n) for n in names}
-    return final(df.select(*[coarse.get(c, q(c)) for c in df.columns]))
+    return final(df, **dict.fromkeys(EXACT), **dict.fromkeys(names, 4))
 
 
-@query("e1_inter_arrival", f"WITH {FLOWS}, {IAT.format(base='flows')} SELECT event_id, {rnd('iat')} FROM iat")
+@query("e1_inter_arrival", f"WITH {FLOWS}, {IAT.format(base='flows')} SELECT event_id, gap / 1000000.0::DOUBLE AS iat FROM iat")
 def _(spark, sf):
-    return final(behavior.inter_arrival(flows(spark, sf), PAIR, "timestamp").select("event_id", "iat"))
+    return final(behavior.inter_arrival(flows(spark, sf), PAIR, "timestamp").select("event_id", "iat"), iat=None)
 
 
 @query(
     "d1_fit_periodicity",
-    f"WITH {FLOWS}, {IAT.format(base='flows')}, {PERIODICITY} SELECT src_ip, dst_ip, {rnd(*IAT_NAMES)} FROM pair_stats",
+    f"WITH {FLOWS}, {IAT.format(base='flows')}, {PERIODICITY} SELECT src_ip, dst_ip, {IAT_ROUNDED} FROM pair_stats",
 )
 def _(spark, sf):
-    return final(behavior.fit_periodicity(flows(spark, sf), PAIR, "timestamp"))
+    return final(behavior.fit_periodicity(flows(spark, sf), PAIR, "timestamp"), **dict.fromkeys(EXACT))
 
 
 @query(

@@ -28,13 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def final(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded and integers widened, so that both engines print the same values."""
+def final(df: DataFrame, digits: int = 6, **column_digits: int | None) -> DataFrame:
+    """Doubles rounded and integers widened, so that both engines print the same values.
+
+    Per column other digits can be given; None leaves a value alone that is exact in both.
+    """
     out = []
     for f in df.schema.fields:
         kind = f.dataType.typeName()
-        if kind in ("double", "float", "decimal"):
-            out.append(F.round(q(f.name).cast("double"), digits).alias(f.name))
+        places = column_digits.get(f.name, digits)
+        if kind in ("double", "float", "decimal") and places is not None:
+            out.append(F.round(q(f.name).cast("double"), places).alias(f.name))
         elif kind in ("integer", "short", "byte"):
             out.append(q(f.name).cast("bigint").alias(f.name))
         else:

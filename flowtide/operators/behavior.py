@@ -79,7 +79,7 @@ def inter_arrival(
     found = scale.left_join_stats(counted, lookup, at, scale.hot_groups(counted, at, hot_rows))
     leads = F.col("_key") == F.col("_leader")
     names = [q(c) for c in df.columns]
-    led = found.where(leads).select(*names, F.col("_step").alias(out))
+    led = found.where(leads).select(*names, (F.col("_step") / 1e6).alias(out))
     zeros = found.select(*names, F.lit(0.0).alias(out), (F.col("_n") - leads.cast("bigint")).alias("_n"))
     rest = scale.repeat_rows(zeros, "_n")
     parts = [cold.select(*names, q(out)), led, rest, untimed.select(*names, q(out))]
@@ -87,7 +87,7 @@ def inter_arrival(
 
 
 def _previous_times(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per (group, distinct timestamp): its row count and seconds since the previous timestamp."""
+    """One row per (group, distinct timestamp): its row count and microseconds since the previous timestamp."""
     group = [q(k) for k in keys]
     times = pieces.groupBy(*group, "_bucket", "_us").agg(F.count(F.lit(1)).alias("_rows"))
     ends = times.groupBy(*group, "_bucket").agg(F.max("_us").alias("_last"))
@@ -95,7 +95,7 @@ def _previous_times(pieces: DataFrame, keys: list[str]) -> DataFrame:
     ends = ends.select(*group, "_bucket", F.lag("_last").over(across).alias("_before"))
     within = Window.partitionBy(*group, "_bucket").orderBy("_us")
     stepped = times.withColumn("_lag", F.lag("_us").over(within)).join(ends, [*keys, "_bucket"])
-    step = (F.col("_us") - F.coalesce(F.col("_lag"), F.col("_before"))) / 1e6
+    step = F.col("_us") - F.coalesce(F.col("_lag"), F.col("_before"))
     return stepped.select(*group, "_us", "_rows", step.alias("_step"))
 
 
@@ -120,13 +120,14 @@ def fit_periodicity(
 def _plain_periodicity(rows: DataFrame, keys: list[str]) -> DataFrame:
     group = [q(k) for k in keys]
     w = Window.partitionBy(*group).orderBy("_us")
-    gaps = rows.select(*group, ((F.col("_us") - F.lag("_us").over(w)) / 1e6).alias("iat"))
+    gaps = rows.select(*group, (F.col("_us") - F.lag("_us").over(w)).alias("gap"))
+    # Whole microseconds keep the sums exact; seconds come last.
     return gaps.groupBy(*group).agg(
-        F.avg("iat").alias("iat_mean"),
-        F.stddev_samp("iat").alias("iat_std"),
-        F.median("iat").alias("iat_median"),
-        F.min("iat").alias("iat_min"),
-        F.max("iat").alias("iat_max"),
+        (F.sum("gap") / F.count("gap") / 1e6).alias("iat_mean"),
+        (F.stddev_samp("gap") / 1e6).alias("iat_std"),
+        (F.median("gap") / 1e6).alias("iat_median"),
+        (F.min("gap") / 1e6).alias("iat_min"),
+        (F.max("gap") / 1e6).alias("iat_max"),
     )
 
 
@@ -136,29 +137,28 @@ def _hot_periodicity(rows: DataFrame, keys: list[str], hot_rows: int) -> DataFra
     steps = cut_lineage(_previous_times(scale.with_bucket(rows, "_us", scale.value_splits(rows, "_us")), keys))
     ones, zeros = F.count("_step"), F.sum(F.col("_rows") - 1)
     merged = steps.groupBy(*group).agg(
-        ones.alias("_n1"),
-        zeros.alias("_n0"),
-        F.avg("_step").alias("_m1"),
-        F.var_pop("_step").alias("_v1"),
+        F.count("_step").alias("_n1"),
+        F.sum(F.col("_rows") - 1).alias("_n0"),
+        F.coalesce(F.sum("_step"), F.lit(0)).alias("_total"),
+        F.coalesce(F.avg("_step"), F.lit(0.0)).alias("_m1"),
+        F.coalesce(F.var_pop("_step"), F.lit(0.0)).alias("_v1"),
         F.min("_step").alias("_lo"),
         F.max("_step").alias("_hi"),
     )
     n = F.col("_n1") + F.col("_n0")
-    # Two groups of gaps (positive steps and zeros) combined without cancellation.
-    m2 = F.coalesce(F.col("_v1") * F.col("_n1"), F.lit(0.0)) + F.coalesce(
-        F.col("_m1") * F.col("_m1") * F.col("_n1") * F.col("_n0") / n, F.lit(0.0)
+    # Positive steps and zeros combined without cancellation.
+    m2 = F.col("_v1") * F.col("_n1") + F.try_divide(F.col("_m1") * F.col("_m1") * F.col("_n1") * F.col("_n0"), n)
+    gaps = steps.select(*group, F.col("_step").alias("gap"), F.lit(1).cast("bigint").alias("w")).unionByName(
+        steps.where(F.col("_rows") > 1).select(*group, F.lit(0).cast("bigint").alias("gap"), (F.col("_rows") - 1).alias("w"))
     )
-    gaps = steps.select(*group, F.col("_step").alias("iat"), F.lit(1).cast("bigint").alias("w")).unionByName(
-        steps.where(F.col("_rows") > 1).select(*group, F.lit(0.0).alias("iat"), (F.col("_rows") - 1).alias("w"))
-    )
-    medians = scale.exact_quantiles(gaps, keys, "iat", [0.5], weight="w", hot_rows=hot_rows)
-    return merged.join(medians.select(*group, F.col("quantile").alias("iat_median")), keys, "left").select(
+    medians = scale.exact_quantiles(gaps, keys, "gap", [0.5], weight="w", hot_rows=hot_rows)
+    return merged.join(medians.select(*group, F.col("quantile").alias("_median")), keys, "left").select(
         *group,
-        F.try_divide(F.coalesce(F.col("_m1") * F.col("_n1"), F.lit(0.0)), n).alias("iat_mean"),
-        F.when(n > 1, F.sqrt(m2 / (n - 1))).alias("iat_std"),
-        "iat_median",
-        F.when(F.col("_n0") > 0, F.lit(0.0)).otherwise(F.col("_lo")).alias("iat_min"),
-        F.when(n > 0, F.coalesce(F.col("_hi"), F.lit(0.0))).alias("iat_max"),
+        (F.try_divide(F.col("_total"), n) / 1e6).alias("iat_mean"),
+        F.when(n > 1, F.sqrt(m2 / (n - 1)) / 1e6).alias("iat_std"),
+        (F.col("_median") / 1e6).alias("iat_median"),
+        F.when(F.col("_n0") > 0, F.lit(0.0)).otherwise(F.col("_lo") / 1e6).alias("iat_min"),
+        F.when(n > 0, F.coalesce(F.col("_hi"), F.lit(0)) / 1e6).alias("iat_max"),
     )
 
 
