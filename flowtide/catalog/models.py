@@ -1 +1,201 @@
-"""Registered queries."""
+"""Training and scoring queries, and the whole preprocessing jobs.
+
+Model outputs have no SQL counterpart; tests check their properties instead.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowtide.catalog.behavior import BLOCK, BLOCK_JOINS, IAT, PERIODICITY, SRC_FAMILIES
+from flowtide.catalog.registry import CTU, FLOWS, SEED, ctu_text, final, flows, key_sql, query, rnd, split_sql, table
+from flowtide.catalog.rows import marked
+from flowtide.functions.columns import q
+from flowtide.operators import averaging, evaluate, models, rows, sampling
+from flowtide.plans import datasets
+
+FEATURES = ["duration", "bytes_total", "dst_port", "packets_fwd", "packets_bwd"]
+ID = ["event_id"]
+
+
+def split_table(spark, sf):
+    """Split flows with scaled features; the label follows the destination port."""
+    df = rows.fill_missing(marked(spark, sf), "fill_zero").withColumn(
+        "label", F.coalesce(q("is_malicious") == 1, F.lit(False)).cast("int")
+    )
+    df = df.select("event_id", "src_ip", "label", *FEATURES)
+    df = sampling.stratified_split(df, "label", ID, SEED)
+    scaler = rows.fit_scaler(df.where(q("split") == "train"), FEATURES)
+    return rows.standard_scale(df, scaler)
+
+
+def assembled(spark, sf):
+    return rows.assemble(split_table(spark, sf), FEATURES)
+
+
+def _train(df):
+    return df.where(q("split") == "train")
+
+
+def _test(df):
+    return df.where(q("split") == "test")
+
+
+@query("j1_random_forest")
+def _(spark, sf):
+    df = assembled(spark, sf)
+    model = models.random_forest(_train(df), trees=20, depth=5)
+    return evaluate.all_metrics(models.predict(model, _test(df)))
+
+
+@query("j2_boosted_trees")
+def _(spark, sf):
+    df = assembled(spark, sf)
+    model = models.boosted_trees(_train(df), rounds=5, depth=4)
+    return evaluate.all_metrics(models.predict(model, _test(df)))
+
+
+@query("j3_mlp")
+def _(spark, sf):
+    df = assembled(spark, sf)
+    balanced = models.balance_by_sampling(_train(df).select("event_id", "label", "features"), "label", ID, SEED)
+    model = models.mlp(balanced, len(FEATURES), hidden=(16, 8), iterations=20)
+    return evaluate.all_metrics(models.predict(model, _test(df)))
+
+
+def embeddings(spark, sf):
+    """Embedding vectors as numeric columns; label 0 counts as anomalous."""
+    e = table(spark, sf, "embeddings")
+    size = 64
+    return e.select("vec_id", (q("label") == 0).cast("int").alias("label"), *[q("embedding")[i].cast("double").alias(f"e{i}") for i in range(size)])
+
+
+@query("j4_reconstruction_detector")
+def _(spark, sf):
+    df = rows.assemble(embeddings(spark, sf), [f"e{i}" for i in range(64)])
+    model = models.reconstruction_detector(df, 16)
+    scored = models.reconstruction_error(model, df)
+    limit = evaluate.reconstruction_threshold(scored.where(q("label") == 0), "error", 0.05).first()[0]
+    return evaluate.anomaly_scores(scored, "error", limit).select("vec_id", "label", "error", "prediction", "score")
+
+
+CLIENTS = 6
+
+
+def clients(spark, sf):
+    df = _train(split_table(spark, sf)).select("event_id", "label", *FEATURES)
+    return sampling.partition_dirichlet(df, CLIENTS, "label", ID, SEED, alpha=1.0)
+
+
+@query("j6_local_update")
+def _(spark, sf):
+    return averaging.local_update(clients(spark, sf), [0.0] * (len(FEATURES) + 1), FEATURES, epochs=2)
+
+
+@query(
+    "j7_average_weights",
+    f"""WITH {FLOWS}, u AS (SELECT src_ip, count(*) AS n, avg(duration) AS w0, avg(dst_port) AS w1, avg(packets_bwd) AS w2 FROM flows GROUP BY 1)
+    SELECT 0::BIGINT AS index, round(sum(n * w0) / sum(n), 6) AS weight FROM u UNION ALL
+    SELECT 1, round(sum(n * w1) / sum(n), 6) FROM u UNION ALL SELECT 2, round(sum(n * w2) / sum(n), 6) FROM u""",
+)
+def _(spark, sf):
+    updates = flows(spark, sf).groupBy("src_ip").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(F.avg("duration"), F.avg("dst_port"), F.avg("packets_bwd")).alias("weights"),
+    )
+    return final(averaging.average_weights(updates))
+
+
+@query("j7_fedavg")
+def _(spark, sf):
+    return averaging.fedavg(clients(spark, sf), FEATURES, rounds=2, seed=SEED)[1]
+
+
+@query("j8_fedprox")
+def _(spark, sf):
+    return averaging.fedprox(clients(spark, sf), FEATURES, mu=0.1, rounds=2, epochs=2, seed=SEED)[1]
+
+
+@query("j9_feature_importances")
+def _(spark, sf):
+    model = models.random_forest(_train(assembled(spark, sf)), trees=10, depth=5)
+    return models.feature_importances(model, FEATURES)
+
+
+@query("j10_predict")
+def _(spark, sf):
+    df = assembled(spark, sf)
+    model = models.random_forest(_train(df), trees=10, depth=5)
+    return models.predict(model, _test(df)).select("event_id", "label", "prediction", "score")
+
+
+@query("j11_cross_validate")
+def _(spark, sf):
+    df = assembled(spark, sf).select("event_id", "label", "features")
+    folds = sampling.stratified_kfold(df, 3, "label", ID, SEED)
+    return models.cross_validate(folds, lambda train: models.random_forest(train, trees=5, depth=4), 3)
+
+
+@query("j12_train_centralized")
+def _(spark, sf):
+    df = split_table(spark, sf)
+    return models.train_centralized(df, FEATURES, lambda train: models.random_forest(train, trees=10, depth=5))[1]
+
+
+_PROTO = ("tcp", "udp", "icmp", "ipx/spx")
+_STATE = ("CON", "FSPA_FSPA", "S_", "INT")
+_CTU_COMPLETE = """complete AS (SELECT *, StartTime AS "timestamp", SrcAddr AS src_ip, DstAddr AS dst_ip, Dport AS dst_port, Proto AS protocol, TotBytes AS bytes_total,
+  TotPkts AS total_packets FROM ctu WHERE Dur IS NOT NULL AND State IS NOT NULL AND label_text IS NOT NULL)"""
+
+
+@query(
+    "b31_preprocess_ctu",
+    f"""WITH {CTU}, {_CTU_COMPLETE}, {split_sql('complete', 'label', key_sql('event_id'))}, train AS (SELECT * FROM parted WHERE split = 'train'),
+    {IAT.format(base='train')}, {PERIODICITY}, {SRC_FAMILIES}
+    SELECT event_id, StartTime, {rnd('Dur')}, Proto, SrcAddr, CAST(Sport AS BIGINT) AS Sport, Dir, DstAddr, CAST(Dport AS BIGINT) AS Dport, State,
+    CAST(sTos AS BIGINT) AS sTos, CAST(dTos AS BIGINT) AS dTos, TotPkts, {rnd('TotBytes', 'SrcBytes')}, label_text, CAST(label AS BIGINT) AS label, scenario,
+    CAST(hour(StartTime) AS BIGINT) AS hour, CAST(isodow(StartTime) - 1 AS BIGINT) AS day_of_week, CAST(floor(epoch(StartTime)) AS BIGINT) AS timestamp_seconds,
+    round(TotBytes / (TotPkts + 1), 6) AS bytes_per_packet, round(SrcBytes / (TotBytes + 1), 6) AS src_bytes_ratio,
+    round(ln(1 + Dur), 6) AS Dur_log, round(ln(1 + TotPkts), 6) AS TotPkts_log, round(ln(1 + TotBytes), 6) AS TotBytes_log, round(ln(1 + SrcBytes), 6) AS SrcBytes_log, """
+    + ", ".join(f"CAST(Proto = '{v}' AS BIGINT) AS \"proto_{v}\"" for v in _PROTO)
+    + ", CAST(Sport > 0 AND Sport < 1024 AS BIGINT) AS is_common_src_port, CAST(Dport > 0 AND Dport < 1024 AS BIGINT) AS is_common_dst_port, "
+    + ", ".join(f"CAST(State = '{v}' AS BIGINT) AS \"state_{v}\"" for v in _STATE)
+    + f", {BLOCK}, split FROM parted {BLOCK_JOINS}",
+)
+def _(spark, sf):
+    from flowtide.catalog.behavior import scored
+
+    out = datasets.preprocess_ctu(ctu_text(spark, sf), ID, SEED)
+    return scored(out, "periodicity_score", "bytes_consistency_score", "pkts_consistency_score")
+
+
+_UGR_COMPLETE = f"""complete AS (SELECT *, CAST(coalesce(regexp_matches(lower(label), 'anomaly|blacklist'), false) AS INT) AS is_malicious,
+  packets_fwd + packets_bwd AS total_packets FROM flows WHERE src_port IS NOT NULL AND tos IS NOT NULL AND bytes_total IS NOT NULL AND label IS NOT NULL)"""
+_TOP_PORTS = "(SELECT dst_port FROM flows GROUP BY 1 ORDER BY count(*) DESC, dst_port LIMIT 20)"
+
+
+@query(
+    "b31_preprocess_ugr",
+    f"""WITH {FLOWS}, {_UGR_COMPLETE}, {split_sql('complete', 'is_malicious', key_sql('event_id'))}, train AS (SELECT * FROM parted WHERE split = 'train'),
+    {IAT.format(base='train')}, {PERIODICITY}, {SRC_FAMILIES}
+    SELECT event_id, parted."timestamp", {rnd('duration')}, parted.src_ip, parted.dst_ip, src_port, dst_port, protocol, flags, tos, packets_fwd, packets_bwd,
+    {rnd('bytes_total')}, label, CAST(is_malicious AS BIGINT) AS is_malicious, CAST(is_malicious AS BIGINT) AS binary_label,
+    CAST(hour("timestamp") AS BIGINT) AS hour, CAST(isodow("timestamp") - 1 AS BIGINT) AS day_of_week, CAST(floor(epoch("timestamp")) AS BIGINT) AS timestamp_seconds,
+    total_packets, round(packets_fwd / (total_packets + 1), 6) AS fwd_packet_ratio, round(bytes_total / (total_packets + 1), 6) AS bytes_per_packet,
+    round(ln(1 + duration), 6) AS duration_log, round(ln(1 + packets_fwd), 6) AS packets_fwd_log, round(ln(1 + packets_bwd), 6) AS packets_bwd_log,
+    round(ln(1 + bytes_total), 6) AS bytes_total_log, """
+    + ", ".join(f"CAST(protocol = '{v}' AS BIGINT) AS \"proto_{v}\"" for v in ("TCP", "UDP", "ICMP", "ipx/spx"))
+    + ", CAST(src_port > 0 AND src_port < 1024 AS BIGINT) AS is_common_src_port, CAST(dst_port > 0 AND dst_port < 1024 AS BIGINT) AS is_common_dst_port, "
+    + f"CAST(dst_port IN {_TOP_PORTS} AS BIGINT) AS top_port_columns, "
+    + ", ".join(f"CAST(flags = '{v}' AS BIGINT) AS \"flag_{v}\"" for v in (".A....", ".AP.SF", "....S.", ".APRSF"))
+    + f", {BLOCK}, split FROM parted {BLOCK_JOINS}",
+)
+def _(spark, sf):
+    """The 20 port columns carry names that depend on the data; here their sum stands for them."""
+    from flowtide.catalog.behavior import scored
+
+    out = datasets.preprocess_ugr(flows(spark, sf), ID, SEED)
+    ports = [x for x in out.columns if x.startswith("dst_port_") and x != "dst_port_entropy"]
+    total = sum((q(x) for x in ports[1:]), q(ports[0]))
+    out = out.withColumn("top_port_columns", total).drop(*ports)
+    return scored(out, "periodicity_score", "bytes_consistency_score", "pkts_consistency_score")

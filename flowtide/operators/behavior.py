@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowtide.functions.columns import micros, q, regularity_score, variation
 from flowtide.operators import scale
-from flowtide.session import cut_lineage
+from flowtide.session import cut_lineage, materialize
 
 # Column names tried in this order, and the output names per family.
 SRC_COLUMNS = ("SrcAddr", "src_ip")
@@ -243,7 +243,7 @@ def fit_features(
     """Learns all enabled families from the training rows and writes them out.
 
     The source families share one table, so applying them costs one join. With `path`
-    the tables are Parquet under it; otherwise they go to the checkpoint folder.
+    the tables are Parquet under it; otherwise they go to the shared scratch folder.
     """
     keys = resolve_group_columns(train) if group_columns is None else list(group_columns)
     if not keys:
@@ -280,10 +280,7 @@ def fit_features(
 
 
 def _written(df: DataFrame, path: str | None, name: str) -> DataFrame:
-    if path is None:
-        return cut_lineage(df)
-    df.write.mode("overwrite").parquet(f"{path}/{name}")
-    return df.sparkSession.read.parquet(f"{path}/{name}")
+    return materialize(df, name, f"{path}/{name}" if path else None)
 
 
 def _zero_filled(df: DataFrame, columns: Sequence[str]) -> list:

@@ -39,10 +39,12 @@ def count_invalid_time(df: DataFrame, ts: str) -> DataFrame:
 def fill_missing(df: DataFrame, strategy: str = "drop") -> DataFrame:
     """'drop' rows with a NULL or NaN, or fill numeric columns with zero or their exact median."""
     if strategy == "drop":
-        return df.na.drop("any")
+        return df.na.drop("any", subset=["`" + c.replace("`", "``") + "`" for c in df.columns])
     numbers = numeric_columns(df)
     if strategy == "fill_zero":
-        return df.na.fill(0, subset=numbers) if numbers else df
+        return replace_columns(
+            df, {c: F.coalesce(_present(df, c), F.lit(0).cast(df.schema[c].dataType)) for c in numbers}
+        )
     if strategy != "fill_median":
         raise ValueError("strategy must be 'drop', 'fill_zero' or 'fill_median'")
     if not numbers:
@@ -52,11 +54,16 @@ def fill_missing(df: DataFrame, strategy: str = "drop") -> DataFrame:
     new = {}
     for c in numbers:
         if medians.get(c) is not None:
-            value = no_nan(q(c)) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else q(c)
-            new[c] = F.coalesce(value.cast("double"), F.lit(medians[c]))
+            new[c] = F.coalesce(_present(df, c).cast("double"), F.lit(medians[c]))
     return replace_columns(df, new)
 
 
+def _present(df: DataFrame, column: str) -> Column:
+    """The column with NaN turned into NULL."""
+    floating = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
+    return no_nan(q(column)) if floating else q(column)
+
+
 def _name_value(df: DataFrame, column: str) -> Column:
     value = q(column).cast("double")
     return F.struct(F.lit(column).alias("name"), no_nan(value).alias("value"))

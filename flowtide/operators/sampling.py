@@ -280,7 +280,7 @@ def partition_dirichlet(
         for client, size in enumerate(sizes):
             start, stop = stop, stop + size
             rows.append((value, str(client), start, stop))
-    schema = df.select(q(label)).schema.add("part", "string").add("start", "bigint").add("stop", "bigint")
+    schema = df.select(q(label)).schema.add("part", "string").add("start", "long").add("stop", "long")
     plan = df.sparkSession.createDataFrame(rows, schema)
     placed = scale.assign_parts(df, plan, [label], id_cols, seed, "_client")
     return placed.withColumn(out, F.col("_client").cast("int")).drop("_client")
@@ -308,3 +308,13 @@ def client_val_split(
 def quick_sample(df: DataFrame, n: int | None, id_cols: Sequence[str] | None, seed: int) -> DataFrame:
     """The row limit of quick training and cross-validation runs; None keeps every row."""
     return df if n is None else sample_exact(df, n, id_cols, seed)
+
+
+def sort_by_time(df: DataFrame, ts: str, id_cols: Sequence[str]) -> DataFrame:
+    """Ascending time order, equal timestamps by id; a range-partitioned sort."""
+    return df.orderBy(q(ts), *[q(c) for c in id_cols])
+
+
+def union_classes(positives: DataFrame, negatives: DataFrame) -> DataFrame:
+    """Both classes' samples in one table, matched by column name."""
+    return positives.unionByName(negatives)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowtide.functions import columns as c
 from flowtide.functions.columns import q
 from flowtide.operators import behavior, rows, sampling, scale
-from flowtide.session import cut_lineage
+from flowtide.session import materialize
 from flowtide.sources.schema import standardize_columns
 
 # How many of the most frequent values get a one-hot column.
@@ -129,9 +129,9 @@ def split_fit_apply(
 ) -> DataFrame:
     """Stratified split, statistics from the train rows, joined to all rows.
 
-    The split table is written once: the fit, its hot-key counts and the apply all read it.
+    The split is a comparison per row with a few cut keys, so it is not written out.
     """
-    split = cut_lineage(sampling.stratified_split(df, label, id_cols, seed, test_size, val_size))
+    split = sampling.stratified_split(df, label, id_cols, seed, test_size, val_size)
     fitted = behavior.fit_features(split.where(F.col("split") == "train"), ts, hot_rows=hot_rows)
     done = behavior.transform_features(split, fitted)
     return done.select(*[q(x) for x in done.columns if x != "split"], "split")
@@ -146,8 +146,11 @@ def preprocess_ctu(
     vocabulary: Mapping[str, Sequence[Any]] | None = None,
     time_format: str = c.CTU_TIME_FORMAT,
 ) -> DataFrame:
-    """Clean, label, derive, drop incomplete rows, split, fit on train, apply to all."""
-    labelled = label_ctu(clean_ctu(raw, time_format))
+    """Clean, label, derive, drop incomplete rows, split, fit on train, apply to all.
+
+    The typed table is written once; the vocabulary, the split, the fit and the apply read it.
+    """
+    labelled = materialize(label_ctu(clean_ctu(raw, time_format)), "typed")
     featured = ctu_features(labelled, vocabulary or ctu_vocabulary(labelled))
     return split_fit_apply(rows.fill_missing(featured, "drop"), "label", "StartTime", id_cols, seed, test_size, val_size)
 
@@ -161,7 +164,7 @@ def preprocess_ugr(
     vocabulary: Mapping[str, Sequence[Any]] | None = None,
     keywords: Sequence[str] = c.MALICIOUS_KEYWORDS,
 ) -> DataFrame:
-    labelled = label_ugr(clean_ugr(raw), keywords)
+    labelled = materialize(label_ugr(clean_ugr(raw), keywords), "typed")
     featured = ugr_features(labelled, vocabulary or ugr_vocabulary(labelled))
     return split_fit_apply(
         rows.fill_missing(featured, "drop"), "binary_label", "timestamp", id_cols, seed, test_size, val_size

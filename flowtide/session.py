@@ -54,3 +54,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later jobs read the written rows instead of recomputing them."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Writes a table that several jobs will read, as Parquet: later scans prune columns and push filters."""
+    target = path or scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite" if path else "error").option("compression", "snappy").parquet(target)
+    return df.sparkSession.read.parquet(target)

@@ -42,15 +42,28 @@ def read_flow_csv(
     if bad_rows == "keep":
         schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
         reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
-    # Column pruning would let rows with a bad unused column pass as well formed.
-    if bad_rows != "fail":
-        reader = reader.option("columnPruning", False)
-    return reader.schema(schema).csv(path)
+    df = reader.schema(schema).csv(path)
+    if bad_rows == "fail":
+        return df
+    # The parser only casts columns a query uses, so a bad value in an unused column would go
+    # unnoticed and the row count would depend on the query. The filter, always true, uses them all.
+    parsed = [q(f.name) for f in schema.fields if f.name != CORRUPT]
+    return df.where(F.xxhash64(*parsed) >= F.lit(-(2**63)))
 
 
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows, raw text of rejected rows) of a file read with bad_rows='keep'."""
-    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT), df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    """(good rows, rejected rows with their raw text) of a file read with bad_rows='keep'."""
+    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT), df.where(F.col(CORRUPT).isNotNull())
+
+
+def count_rejects(df: DataFrame, ts: str) -> DataFrame:
+    """One row: good rows, rejected rows, and good rows with a readable time."""
+    good = F.col(CORRUPT).isNull()
+    return df.agg(
+        F.count_if(good).alias("good_rows"),
+        F.count_if(~good).alias("rejected_rows"),
+        F.count_if(good & q(ts).isNotNull()).alias("timed_rows"),
+    )
 
 
 def read_flows(spark: SparkSession, path: str) -> DataFrame:
