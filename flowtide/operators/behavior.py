@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowtide.functions.columns import micros, q, regularity_score, variation
 from flowtide.operators import scale
-from flowtide.session import cut_lineage, materialize
+from flowtide.session import materialize
 
 # Column names tried in this order, and the output names per family.
 SRC_COLUMNS = ("SrcAddr", "src_ip")
@@ -100,19 +100,19 @@ def _previous_times(pieces: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fit_periodicity(
-    df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int = scale.HOT_GROUP_ROWS
+    df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int = scale.HOT_GROUP_ROWS, rows: int | None = None
 ) -> DataFrame:
     """Per group: mean, std (n-1), exact median, min, max and variation of inter-arrival seconds."""
     keys = list(keys)
     group = [q(k) for k in keys]
-    rows = with_keys(df, keys).select(*group, micros(q(ts)).alias("_us"))
-    hot = scale.hot_groups(rows, keys, hot_rows)
+    timed = with_keys(df, keys).select(*group, micros(q(ts)).alias("_us"))
+    hot = scale.hot_groups(timed, keys, hot_rows, rows)
     if hot is None:
-        stats = _plain_periodicity(rows, keys)
+        stats = _plain_periodicity(timed, keys)
     else:
         hot_keys = scale.small(hot.select(*group))
-        stats = _plain_periodicity(rows.join(hot_keys, keys, "left_anti"), keys).unionByName(
-            _hot_periodicity(rows.join(hot_keys, keys, "left_semi").where(F.col("_us").isNotNull()), keys, hot_rows)
+        stats = _plain_periodicity(timed.join(hot_keys, keys, "left_anti"), keys).unionByName(
+            _hot_periodicity(timed.join(hot_keys, keys, "left_semi").where(F.col("_us").isNotNull()), keys, hot_rows)
         )
     return stats.withColumn("iat_cv", variation(F.col("iat_std"), F.col("iat_mean")))
 
@@ -134,7 +134,7 @@ def _plain_periodicity(rows: DataFrame, keys: list[str]) -> DataFrame:
 def _hot_periodicity(rows: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
     """The same statistics from distinct timestamps with counts; repeats count as 0-second gaps."""
     group = [q(k) for k in keys]
-    steps = cut_lineage(_previous_times(scale.with_bucket(rows, "_us", scale.value_splits(rows, "_us")), keys))
+    steps = materialize(_previous_times(scale.with_bucket(rows, "_us", scale.value_splits(rows, "_us")), keys), "steps")
     ones, zeros = F.count("_step"), F.sum(F.col("_rows") - 1)
     merged = steps.groupBy(*group).agg(
         F.count("_step").alias("_n1"),
@@ -248,11 +248,11 @@ def fit_features(
     keys = resolve_group_columns(train) if group_columns is None else list(group_columns)
     if not keys:
         return FittedBehavior([])
-    src, timed = keys[0], ts in train.columns
+    src, timed, total = keys[0], ts in train.columns, train.count()
     fitted = FittedBehavior(keys)
     if periodicity and timed:
-        fitted.pair_stats = _written(fit_periodicity(train, keys, ts, hot_rows), path, "pair_stats")
-        fitted.hot_pairs = scale.hot_groups(train, keys, hot_rows)
+        fitted.pair_stats = _written(fit_periodicity(train, keys, ts, hot_rows, total), path, "pair_stats")
+        fitted.hot_pairs = scale.hot_groups(train, keys, hot_rows, total)
         fitted.families.append("periodicity")
     parts = []
     if aggregation and timed:
@@ -275,7 +275,7 @@ def fit_features(
         for part in parts[1:]:
             merged = merged.join(part, src, "full")
         fitted.src_stats = _written(merged, path, "src_stats")
-        fitted.hot_sources = fitted.hot_pairs if keys == [src] else scale.hot_groups(train, [src], hot_rows)
+        fitted.hot_sources = fitted.hot_pairs if keys == [src] else scale.hot_groups(train, [src], hot_rows, total)
     return fitted
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtide.functions.columns import q
-from flowtide.session import cut_lineage
+from flowtide.session import cut_lineage, materialize, pin
 
 HOT_GROUP_ROWS = 5_000_000
 BROADCAST_ROWS = 200_000
@@ -36,14 +36,25 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return df if is_larger_than(df, rows) else F.broadcast(df)
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], limit: int = HOT_GROUP_ROWS) -> DataFrame | None:
-    """Keys with more than `limit` rows, or None. There are at most rows/limit of them."""
-    if not is_larger_than(df, limit):
+def pinned(df: DataFrame) -> DataFrame:
+    """`pin`, with the broadcast mark when the table turned out small."""
+    table, few = pin(df)
+    return F.broadcast(table) if few else table
+
+
+def hot_groups(
+    df: DataFrame, keys: Sequence[str], limit: int = HOT_GROUP_ROWS, rows: int | None = None
+) -> DataFrame | None:
+    """Keys with more than `limit` rows, or None. There are at most rows/limit of them.
+
+    `rows` is the table's row count where the caller knows it: too short a table has no hot key.
+    """
+    if (df.count() if rows is None else rows) <= limit:
         return None
     sizes = df.groupBy(*[q(k) for k in keys]).agg(F.count(F.lit(1)).alias("group_rows"))
     for key in keys:
         sizes = sizes.where(q(key).isNotNull())
-    hot = cut_lineage(sizes.where(F.col("group_rows") > limit))
+    hot, _ = pin(sizes.where(F.col("group_rows") > limit))
     return None if hot.isEmpty() else hot
 
 
@@ -54,6 +65,7 @@ def left_join_stats(
     hot: DataFrame | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
+    stats_rows: int | None = None,
 ) -> DataFrame:
     """Left equi-join of rows to one-row-per-key statistics.
 
@@ -61,7 +73,7 @@ def left_join_stats(
     NULL key get a salt, and the statistics of hot keys are repeated once per salt.
     """
     keys = list(keys)
-    if not is_larger_than(stats, broadcast_rows):
+    if (stats.count() if stats_rows is None else stats_rows) <= broadcast_rows:
         return df.join(F.broadcast(stats), keys, "left")
     no_key = F.lit(False)
     for key in keys:
@@ -166,7 +178,7 @@ def _bucket_quantiles(rows: DataFrame, keys: list[str], probs: Sequence[float],
         .withColumn("_rank", F.when(F.col("_side") == 0, F.floor("_pos")).otherwise(F.ceil("_pos")))
         .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
     )
-    wanted = cut_lineage(
+    wanted = pinned(
         wanted.select(
             *group,
             "_bucket",
@@ -178,13 +190,13 @@ def _bucket_quantiles(rows: DataFrame, keys: list[str], probs: Sequence[float],
     )
     at = [*keys, "_bucket"]
     values = (
-        bucketed.join(small(wanted.select(*[q(c) for c in at]).distinct()), at, "left_semi")
+        bucketed.join(wanted.select(*[q(c) for c in at]), at, "left_semi")
         .groupBy(*[q(c) for c in at], "_v")
         .agg(F.sum("_w").alias("_n"))
     )
     inside = Window.partitionBy(*[q(c) for c in at]).orderBy("_v")
     values = values.withColumn("_stop", F.sum("_n").over(inside))
-    hit = values.join(small(wanted), at).where(
+    hit = values.join(wanted, at).where(
         (F.col("_offset") < F.col("_stop")) & (F.col("_offset") >= F.col("_stop") - F.col("_n"))
     )
     ends = hit.groupBy(*group, "prob").agg(
@@ -277,21 +289,23 @@ def assign_parts(
         .withColumn("_stratum", stratum)
         .select("_stratum", F.col("part").alias("_part"), F.col("start").alias("_from"), F.col("stop").alias("_to"))
     )
-    cuts = _key_cuts(rows, cut_lineage(ranges))
+    ranges, few = pin(ranges)
+    cuts = _key_cuts(rows, F.broadcast(ranges) if few else ranges)
     lookup = cuts.groupBy("_stratum").agg(
         F.sort_array(F.collect_list(F.struct("_upper", "_to", "_part"))).alias("_cuts")
     )
-    tied = cuts.where(F.col("_copies") > 1)
+    lookup, few = pin(lookup)
     plain, extra = rows, None
-    if not id_cols and not tied.isEmpty():
-        tied_keys = small(tied.select("_stratum", F.col("_upper").alias("_key")).distinct())
-        plain = rows.join(tied_keys, ["_stratum", "_key"], "left_anti")
-        extra = _share_copies(rows, ranges, cuts, tied_keys, df.columns)
-    first = F.element_at(F.filter("_cuts", lambda c: F.col("_key") <= c["_upper"]), 1)
-    placed = left_join_stats(plain, cut_lineage(lookup), ["_stratum"]).where(
-        F.exists("_cuts", lambda c: F.col("_key") <= c["_upper"])
-    )
-    placed = placed.select(*[q(c) for c in df.columns], first["_part"].alias(part))
+    if not id_cols:
+        tied = cuts.where(F.col("_copies") > 1)
+        tied_keys = pinned(tied.select("_stratum", F.col("_upper").alias("_key")).distinct())
+        if not tied_keys.isEmpty():
+            plain = rows.join(tied_keys, ["_stratum", "_key"], "left_anti")
+            extra = _share_copies(rows, ranges, cuts, tied_keys, df.columns)
+    first = F.try_element_at(F.filter("_cuts", lambda c: F.col("_key") <= c["_upper"]), F.lit(1))
+    placed = left_join_stats(plain, lookup, ["_stratum"], stats_rows=0 if few else None)
+    placed = placed.withColumn("_place", first["_part"]).where(F.col("_place").isNotNull())
+    placed = placed.select(*[q(c) for c in df.columns], F.col("_place").alias(part))
     return placed if extra is None else placed.unionByName(extra.withColumnRenamed("_part", part))
 
 
@@ -305,22 +319,22 @@ def _key_cuts(rows: DataFrame, ranges: DataFrame) -> DataFrame:
         .withColumn("_before", F.sum("_n").over(in_order) - F.col("_n"))
     )
     last = F.col("_to") - 1
-    wanted = cut_lineage(
-        cells.join(small(ranges), "_stratum").where(
-            (last >= F.col("_before")) & (last < F.col("_before") + F.col("_n"))
-        )
-    ).drop("_n")
+    wanted = pinned(
+        cells.join(ranges, "_stratum")
+        .where((last >= F.col("_before")) & (last < F.col("_before") + F.col("_n")))
+        .drop("_n")
+    )
     at = ["_stratum", "_prefix"]
     keys = (
-        slim.join(small(wanted.select(*at).distinct()), at, "left_semi")
+        slim.join(wanted.select(*at), at, "left_semi")
         .groupBy(*at, "_key")
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
     inside = Window.partitionBy(*at).orderBy("_key")
     keys = keys.withColumn("_stop", F.sum("_copies").over(inside))
     first = F.col("_before") + F.col("_stop") - F.col("_copies")
-    hit = keys.join(small(wanted), at).where((last >= first) & (last < F.col("_before") + F.col("_stop")))
-    return cut_lineage(
+    hit = keys.join(wanted, at).where((last >= first) & (last < F.col("_before") + F.col("_stop")))
+    return pinned(
         hit.select("_stratum", "_part", "_from", "_to", F.col("_key").alias("_upper"), first.alias("_first"), "_copies")
     )
 
@@ -415,7 +429,7 @@ def sorted_codes(df: DataFrame, column: str, out: str = "code", samples: int = 1
 
     Long lists are cut at bounds taken from a hash-ordered set of the values themselves.
     """
-    values = cut_lineage(df.select(q(column).alias("_v")).where(F.col("_v").isNotNull()).distinct())
+    values = materialize(df.select(q(column).alias("_v")).where(F.col("_v").isNotNull()).distinct(), "values")
     if not is_larger_than(values, task_rows):
         codes = values.withColumn(out, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_v")) - 1)
         return codes.select(F.col("_v").alias(column), F.col(out).cast("bigint").alias(out))

@@ -148,11 +148,11 @@ def preprocess_ctu(
 ) -> DataFrame:
     """Clean, label, derive, drop incomplete rows, split, fit on train, apply to all.
 
-    The typed table is written once; the vocabulary, the split, the fit and the apply read it.
+    The featured table is written once; the split, the fit and the apply read its columns.
     """
-    labelled = materialize(label_ctu(clean_ctu(raw, time_format)), "typed")
-    featured = ctu_features(labelled, vocabulary or ctu_vocabulary(labelled))
-    return split_fit_apply(rows.fill_missing(featured, "drop"), "label", "StartTime", id_cols, seed, test_size, val_size)
+    labelled = label_ctu(clean_ctu(raw, time_format))
+    featured = rows.fill_missing(ctu_features(labelled, vocabulary or ctu_vocabulary(labelled)), "drop")
+    return split_fit_apply(materialize(featured, "featured"), "label", "StartTime", id_cols, seed, test_size, val_size)
 
 
 def preprocess_ugr(
@@ -164,8 +164,8 @@ def preprocess_ugr(
     vocabulary: Mapping[str, Sequence[Any]] | None = None,
     keywords: Sequence[str] = c.MALICIOUS_KEYWORDS,
 ) -> DataFrame:
-    labelled = materialize(label_ugr(clean_ugr(raw), keywords), "typed")
-    featured = ugr_features(labelled, vocabulary or ugr_vocabulary(labelled))
+    labelled = label_ugr(clean_ugr(raw), keywords)
+    featured = rows.fill_missing(ugr_features(labelled, vocabulary or ugr_vocabulary(labelled)), "drop")
     return split_fit_apply(
-        rows.fill_missing(featured, "drop"), "binary_label", "timestamp", id_cols, seed, test_size, val_size
+        materialize(featured, "featured"), "binary_label", "timestamp", id_cols, seed, test_size, val_size
     )

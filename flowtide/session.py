@@ -50,6 +50,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+DRIVER_ROWS = 20_000
+
+
+def pin(df: DataFrame, rows: int = DRIVER_ROWS) -> tuple[DataFrame, bool]:
+    """Computes a table once: (table, whether it is small enough to broadcast).
+
+    Up to `rows` rows it becomes a literal table; a longer one is checkpointed instead.
+    """
+    found = df.limit(rows + 1).toArrow()
+    if found.num_rows <= rows:
+        return df.sparkSession.createDataFrame(found, schema=df.schema), True
+    return cut_lineage(df), False
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later jobs read the written rows instead of recomputing them."""
     shared_dir(df.sparkSession)
