@@ -23,7 +23,7 @@ HOT_GROUP_ROWS = 5_000_000
 BROADCAST_ROWS = 200_000
 SALTS = 64
 MIN_PIECES, MAX_PIECES = 1_000, 20_000
-KEY_PREFIX = 4
+KEY_CELL_ROWS = 100_000
 COPY_BLOCK = 1_000_000
 
 
@@ -244,6 +244,14 @@ def running_totals(
     )
 
 
+def prefix_digits(rows: int) -> int:
+    """Hex digits of the key that cut `rows` rows into cells one task can sort; at most 16^5 cells."""
+    digits = 1
+    while digits < 5 and rows > KEY_CELL_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
 def row_key(df: DataFrame, id_cols: Sequence[str] | None, seed: int) -> Column:
     """Seeded 32-digit hash of a row: the same for any partitioning and on any retry.
 
@@ -290,7 +298,8 @@ def assign_parts(
         .select("_stratum", F.col("part").alias("_part"), F.col("start").alias("_from"), F.col("stop").alias("_to"))
     )
     ranges, few = pin(ranges)
-    cuts = _key_cuts(rows, F.broadcast(ranges) if few else ranges)
+    longest = ranges.agg(F.max("_to")).first()[0] or 0
+    cuts = _key_cuts(rows, F.broadcast(ranges) if few else ranges, prefix_digits(longest))
     lookup = cuts.groupBy("_stratum").agg(
         F.sort_array(F.collect_list(F.struct("_upper", "_to", "_part"))).alias("_cuts")
     )
@@ -309,9 +318,9 @@ def assign_parts(
     return placed if extra is None else placed.unionByName(extra.withColumnRenamed("_part", part))
 
 
-def _key_cuts(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+def _key_cuts(rows: DataFrame, ranges: DataFrame, digits: int) -> DataFrame:
     """For every range the key of its last row, with that key's first rank and copy count."""
-    slim = rows.select("_stratum", "_key", F.substring("_key", 1, KEY_PREFIX).alias("_prefix"))
+    slim = rows.select("_stratum", "_key", F.substring("_key", 1, digits).alias("_prefix"))
     in_order = Window.partitionBy("_stratum").orderBy("_prefix")
     cells = (
         slim.groupBy("_stratum", "_prefix")
@@ -362,7 +371,8 @@ def _share_copies(
 def distributed_rank(df: DataFrame, strata: Sequence[str], id_cols: Sequence[str], seed: int, out: str = "rank") -> DataFrame:
     """0-based rank in seeded key order inside every stratum, sorted one key prefix at a time."""
     strata = list(strata)
-    rows = df.withColumn("_key", row_key(df, id_cols, seed)).withColumn("_prefix", F.substring("_key", 1, KEY_PREFIX))
+    digits = prefix_digits(df.count())
+    rows = df.withColumn("_key", row_key(df, id_cols, seed)).withColumn("_prefix", F.substring("_key", 1, digits))
     group = [q(s) for s in strata]
     in_order = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_prefix")
     offsets = (
@@ -417,7 +427,7 @@ def rows_at_ranks(
     wanted = spark.createDataFrame(
         [(r, b, o) for r, (b, o) in spans.items()], "_rank bigint, _bucket int, _offset bigint"
     )
-    cells = bucketed.withColumn("_prefix", F.substring("_k", 1, KEY_PREFIX))
+    cells = bucketed.withColumn("_prefix", F.substring("_k", 1, prefix_digits(before)))
     wanted = narrow(cells, ["_bucket"], "_v", wanted)
     wanted = narrow(cells, ["_bucket", "_v"], "_prefix", wanted)
     wanted = narrow(cells, ["_bucket", "_v", "_prefix"], "_k", wanted)
