@@ -288,21 +288,23 @@ def _zero_filled(df: DataFrame, columns: Sequence[str]) -> list:
     return [F.coalesce(q(c), F.lit(0).cast(df.schema[c].dataType)).alias(c) if c in fill else q(c) for c in df.columns]
 
 
-def apply_pair_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], hot: DataFrame | None = None) -> DataFrame:
+def apply_pair_stats(
+    df: DataFrame, stats: DataFrame, keys: Sequence[str], hot: DataFrame | None = None, stats_rows: int | None = None
+) -> DataFrame:
     """Adds the inter-arrival block; unseen groups get 0 and the score that follows from it."""
-    joined = scale.left_join_stats(df, stats.select(*[q(k) for k in keys], *IAT_COLUMNS), keys, hot)
+    stats = stats.select(*[q(k) for k in keys], *IAT_COLUMNS)
+    joined = scale.left_join_stats(df, stats, keys, hot, stats_rows=stats_rows)
     filled = joined.select(*_zero_filled(joined, IAT_COLUMNS))
     return filled.withColumn("periodicity_score", regularity_score(F.col("iat_cv")))
 
 
-def apply_src_stats(df: DataFrame, stats: DataFrame, src: str, hot: DataFrame | None = None) -> DataFrame:
+def apply_src_stats(
+    df: DataFrame, stats: DataFrame, src: str, hot: DataFrame | None = None, stats_rows: int | None = None
+) -> DataFrame:
     """Adds every source family found in `stats`, in one join; unseen sources get 0."""
     new = [c for c in stats.columns if c != src]
-    joined = scale.left_join_stats(df, stats, [src], hot)
-    columns = []
-    for c in _zero_filled(joined, new):
-        columns.append(c)
-    filled = joined.select(*columns)
+    joined = scale.left_join_stats(df, stats, [src], hot, stats_rows=stats_rows)
+    filled = joined.select(*_zero_filled(joined, new))
     out = []
     for c in filled.columns:
         out.append(q(c))
@@ -318,11 +320,19 @@ def transform_features(df: DataFrame, fitted: FittedBehavior | None) -> DataFram
     if not fitted.group_columns:
         return df
     if fitted.pair_stats is not None:
-        df = apply_pair_stats(df, fitted.pair_stats, fitted.group_columns, fitted.hot_pairs)
+        pairs = fitted.pair_stats
+        df = apply_pair_stats(df, pairs, fitted.group_columns, fitted.hot_pairs, pairs.count())
     if fitted.src_stats is not None:
-        df = apply_src_stats(df, fitted.src_stats, fitted.group_columns[0], fitted.hot_sources)
+        sources = fitted.src_stats
+        df = apply_src_stats(df, sources, fitted.group_columns[0], fitted.hot_sources, sources.count())
     return df
 
 
+def fitting_columns(df: DataFrame, ts: str) -> list[str]:
+    """The columns `fit_features` reads."""
+    found = [resolve_column(df, c) for c in (PORT_COLUMNS, PROTOCOL_COLUMNS, BYTES_COLUMNS, PACKET_COLUMNS)]
+    return list(dict.fromkeys(c for c in [*resolve_group_columns(df), ts, *found] if c in df.columns))
+
+
 def fit_transform(train: DataFrame, **options) -> DataFrame:
     return transform_features(train, fit_features(train, **options))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowtide.functions.columns import anomaly_flag, anomaly_probability, q
 from flowtide.operators import scale
-from flowtide.session import cut_lineage
+from flowtide.session import materialize
 
 # Probability clip of the log loss, normal quantile of the 95 % interval.
 CLIP = 1e-15
@@ -77,7 +77,7 @@ def _score_totals(df: DataFrame, label: str, score: str, by: Sequence[str], task
         F.count_if(q(label) == 1).alias("pos"), F.count_if(q(label) == 0).alias("neg")
     )
     if scale.is_larger_than(df, task_rows):
-        counts = cut_lineage(counts)
+        counts = materialize(counts, "scores")
     totals = counts.groupBy(*parts).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     run = scale.running_totals(counts, list(by), "threshold", ["pos", "neg"], descending=True, task_rows=task_rows)
     if by:

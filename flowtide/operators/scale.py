@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtide.functions.columns import q
-from flowtide.session import cut_lineage, materialize, pin
+from flowtide.session import materialize, pin
 
-HOT_GROUP_ROWS = 5_000_000
+HOT_GROUP_ROWS = 2_000_000
 BROADCAST_ROWS = 200_000
 SALTS = 64
 MIN_PIECES, MAX_PIECES = 1_000, 20_000
@@ -69,11 +69,15 @@ def left_join_stats(
 ) -> DataFrame:
     """Left equi-join of rows to one-row-per-key statistics.
 
-    A counted small side is broadcast. Otherwise rows of hot keys and rows with a
+    The statistics are written once and counted, unless the caller knows their row count
+    (`stats_rows`, for tables already written or literal). A small side is broadcast. Otherwise rows of hot keys and rows with a
     NULL key get a salt, and the statistics of hot keys are repeated once per salt.
     """
     keys = list(keys)
-    if (stats.count() if stats_rows is None else stats_rows) <= broadcast_rows:
+    if stats_rows is None:
+        stats = materialize(stats, "stats")
+        stats_rows = stats.count()
+    if stats_rows <= broadcast_rows:
         return df.join(F.broadcast(stats), keys, "left")
     no_key = F.lit(False)
     for key in keys:

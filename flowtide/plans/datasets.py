@@ -129,10 +129,12 @@ def split_fit_apply(
 ) -> DataFrame:
     """Stratified split, statistics from the train rows, joined to all rows.
 
-    The split is a comparison per row with a few cut keys, so it is not written out.
+    The split is a comparison per row with a few cut keys, so it is not written out. Only the
+    handful of columns the fit reads are, for the train rows, because each family scans them.
     """
     split = sampling.stratified_split(df, label, id_cols, seed, test_size, val_size)
-    fitted = behavior.fit_features(split.where(F.col("split") == "train"), ts, hot_rows=hot_rows)
+    train = split.where(F.col("split") == "train").select(*[q(x) for x in behavior.fitting_columns(split, ts)])
+    fitted = behavior.fit_features(materialize(train, "train"), ts, hot_rows=hot_rows)
     done = behavior.transform_features(split, fitted)
     return done.select(*[q(x) for x in done.columns if x != "split"], "split")
 
