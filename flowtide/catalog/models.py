@@ -79,17 +79,75 @@ def _(spark, sf):
     return evaluate.anomaly_scores(scored, "error", limit).select("vec_id", "label", "error", "prediction", "score")
 
 
-CLIENTS = 6
+# Client rows for weight averaging: two scaled order features, finished orders as positives.
+_CLIENT_COLUMNS = {
+    "client_id": "CAST(o_custkey % 6 AS INT)",
+    "label": "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END",
+    "x1": "o_totalprice / 250000 - 1",
+    "x2": "month(o_orderdate) / 6 - 1",
+}
+CLIENT_FEATURES = ["x1", "x2"]
+CLIENT_ROWS = "d AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _CLIENT_COLUMNS.items()) + " FROM orders)"
 
 
 def clients(spark, sf):
-    df = _train(split_table(spark, sf)).select("event_id", "label", *FEATURES)
-    return sampling.partition_dirichlet(df, CLIENTS, "label", ID, SEED, alpha=1.0)
+    return table(spark, sf, "orders").selectExpr(*[f"{e} AS {n}" for n, e in _CLIENT_COLUMNS.items()])
 
 
-@query("j6_local_update")
+_P = "(1 / (1 + exp(-(w.a * x1 + w.b * x2 + w.c))))"
+_START = "s0 AS (SELECT 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS c), "
+
+
+def _spread(name: str, shared: str) -> str:
+    return f"{name} AS (SELECT client_id, a, b, c FROM (SELECT DISTINCT client_id FROM d), {shared})"
+
+
+def _step(name: str, before: str, shared: str, mu: float) -> str:
+    """One full-gradient step of every client from its weights in `before`."""
+
+    def moved(w: str, x: str) -> str:
+        return f"any_value(w.{w}) - 0.5::DOUBLE * (avg(({_P} - label) * {x}) + {mu}::DOUBLE * (any_value(w.{w}) - any_value(s.{w}))) AS {w}"
+
+    return f"""{name} AS (SELECT client_id, count(*) AS n, {moved('a', 'x1')}, {moved('b', 'x2')}, {moved('c', '1')}
+    FROM d JOIN {before} w USING (client_id) CROSS JOIN {shared} s GROUP BY client_id)"""
+
+
+def _result(name: str, after: str) -> str:
+    return f"""{name} AS (SELECT client_id, count(*) AS n, any_value(w.a) AS a, any_value(w.b) AS b, any_value(w.c) AS c,
+    avg(CASE WHEN ({_P} >= 0.5) = (label = 1) THEN 1 ELSE 0 END) AS acc, -avg(label * ln({_P}) + (1 - label) * ln(1 - {_P})) AS loss
+    FROM d JOIN {after} w USING (client_id) GROUP BY client_id)"""
+
+
+def _mean(name: str, of: str) -> str:
+    return f"{name} AS (SELECT " + ", ".join(f"sum(n * {w}) / sum(n) AS {w}" for w in "abc") + f" FROM {of})"
+
+
+def _rounds_sql(rounds: int, epochs: int, mu: float) -> str:
+    ctes, out = [], []
+    for r in range(rounds):
+        ctes.append(_spread(f"w{r}_0", f"s{r}"))
+        ctes += [_step(f"w{r}_{e + 1}", f"w{r}_{e}", f"s{r}", mu) for e in range(epochs)]
+        ctes += [_result(f"r{r}", f"w{r}_{epochs}"), _mean(f"s{r + 1}", f"r{r}")]
+        out.append(
+            f"""SELECT {r + 1}::BIGINT AS round, count(*) AS clients, CAST(sum(n) AS BIGINT) AS n, round(sum(n * acc) / sum(n), 6) AS train_accuracy,
+            round(sum(n * loss) / sum(n), 6) AS train_loss, round((SELECT a FROM s{r + 1}), 6) AS w0, round((SELECT b FROM s{r + 1}), 6) AS w1,
+            round((SELECT c FROM s{r + 1}), 6) AS w2 FROM r{r}"""
+        )
+    return f"WITH {CLIENT_ROWS}, {_START}" + ", ".join(ctes) + " " + " UNION ALL ".join(out)
+
+
+def _weight_columns(df):
+    return df.select(*[q(x) for x in df.columns if x != "weights"], *[q("weights")[i].alias(f"w{i}") for i in range(3)])
+
+
+@query(
+    "j6_local_update",
+    f"""WITH {CLIENT_ROWS}, {_START} {_spread('u0', 's0')}, {_step('u1', 'u0', 's0', 0.0)}, {_step('u2', 'u1', 's0', 0.0)}, {_result('r', 'u2')}
+    SELECT CAST(client_id AS BIGINT) AS client_id, n, round(acc, 6) AS train_accuracy, round(loss, 6) AS train_loss,
+    round(a, 6) AS w0, round(b, 6) AS w1, round(c, 6) AS w2 FROM r""",
+)
 def _(spark, sf):
-    return averaging.local_update(clients(spark, sf), [0.0] * (len(FEATURES) + 1), FEATURES, epochs=2)
+    return final(_weight_columns(averaging.local_update(clients(spark, sf), [0.0] * 3, CLIENT_FEATURES, epochs=2)))
 
 
 @query(
@@ -106,14 +164,15 @@ def _(spark, sf):
     return final(averaging.average_weights(updates))
 
 
-@query("j7_fedavg")
+@query("j7_fedavg", _rounds_sql(2, 1, 0.0))
 def _(spark, sf):
-    return averaging.fedavg(clients(spark, sf), FEATURES, rounds=2, seed=SEED)[1]
+    return final(_weight_columns(averaging.fedavg(clients(spark, sf), CLIENT_FEATURES, rounds=2, seed=SEED)[1]))
 
 
-@query("j8_fedprox")
+@query("j8_fedprox", _rounds_sql(2, 2, 0.1))
 def _(spark, sf):
-    return averaging.fedprox(clients(spark, sf), FEATURES, mu=0.1, rounds=2, epochs=2, seed=SEED)[1]
+    history = averaging.fedprox(clients(spark, sf), CLIENT_FEATURES, mu=0.1, rounds=2, epochs=2, seed=SEED)[1]
+    return final(_weight_columns(history))
 
 
 @query("j9_feature_importances")

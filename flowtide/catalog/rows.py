@@ -325,13 +325,19 @@ def _(spark, sf):
     return final(df.select(*[q(x) for x in rows.select_features(df, schema.features_to_drop, schema.label_column)]))
 
 
-@query("b27_assemble")
+@query(
+    "b27_assemble",
+    f"""WITH {MARKED} SELECT event_id, CAST(is_malicious AS BIGINT) AS label, round(duration, 6) AS x0, round(coalesce(bytes_total, 0), 6) AS x1,
+    round(CAST(total_packets AS DOUBLE), 6) AS x2 FROM marked""",
+)
 def _(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     df = rows.fill_missing(marked(spark, sf), "fill_zero")
-    table_ = rows.assemble(df, ["duration", "bytes_total", "total_packets"])
-    return table_.select("event_id", q("is_malicious").cast("bigint").alias("label"), vector_to_array("features").alias("x"))
+    x = vector_to_array("features")
+    cells = [x[i].alias(f"x{i}") for i in range(3)]
+    out = rows.assemble(df, ["duration", "bytes_total", "total_packets"])
+    return final(out.select("event_id", q("is_malicious").alias("label"), *cells))
 
 
 @query(

@@ -118,6 +118,14 @@ def _(spark, sf):
     return final(sampling.stratified_group_kfold(df, K, "o_orderstatus", "o_custkey", SEED))
 
 
+@query("h6_group_integrity", "SELECT o_custkey, count(*) AS rows_in_group, 1::BIGINT AS folds FROM orders GROUP BY 1")
+def _(spark, sf):
+    """Every group lies in one fold and keeps all its rows."""
+    df = orders(spark, sf).select("o_orderkey", "o_custkey", "o_orderstatus")
+    placed = sampling.stratified_group_kfold(df, K, "o_orderstatus", "o_custkey", SEED)
+    return placed.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("rows_in_group"), F.count_distinct("fold").alias("folds"))
+
+
 def _time_split_sql(test: str, gap: int, first: str) -> str:
     return f"""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, {TIE_KEY}) - 1 AS r, count(*) OVER () AS n FROM orders),
     t AS (SELECT *, {test} AS t FROM r), f AS (SELECT t.*, i, n - ({K} - i) * t AS start FROM t, (SELECT unnest(range({K})) AS i))
