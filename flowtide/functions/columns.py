@@ -115,11 +115,11 @@ def epoch_seconds(column: Column) -> Column:
 
 
 def bytes_per_packet(total_bytes: Column, packets: Column) -> Column:
-    return total_bytes / (packets + 1)
+    return F.try_divide(total_bytes, packets + 1)
 
 
 def bytes_ratio(src_bytes: Column, total_bytes: Column) -> Column:
-    return src_bytes / (total_bytes + 1)
+    return F.try_divide(src_bytes, total_bytes + 1)
 
 
 def total_packets(fwd: Column, bwd: Column) -> Column:
@@ -127,7 +127,7 @@ def total_packets(fwd: Column, bwd: Column) -> Column:
 
 
 def fwd_packet_ratio(fwd: Column, total: Column) -> Column:
-    return fwd / (total + 1)
+    return F.try_divide(fwd, total + 1)
 
 
 def log_feature(column: Column, null_as_zero: bool = False) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.functions import columns as c
@@ -58,19 +58,25 @@ def _time_features(ts: str) -> list:
     ]
 
 
-def ctu_features(df: DataFrame, vocabulary: Mapping[str, Sequence[Any]]) -> DataFrame:
-    """All per-row features in one projection."""
-    return df.select(
-        "*",
-        *_time_features("StartTime"),
+def ctu_ratios() -> list[Column]:
+    """The numeric features, in output order; any of them may be NULL."""
+    return [
         c.bytes_per_packet(q("TotBytes"), q("TotPkts")).alias("bytes_per_packet"),
         c.bytes_ratio(q("SrcBytes"), q("TotBytes")).alias("src_bytes_ratio"),
         *[c.log_feature(q(x)).alias(f"{x}_log") for x in CTU_LOG_COLUMNS],
+    ]
+
+
+def ctu_features(vocabulary: Mapping[str, Sequence[Any]]) -> list[Column]:
+    """All per-row features, for one projection over cleaned and labelled rows."""
+    return [
+        *_time_features("StartTime"),
+        *ctu_ratios(),
         *rows.value_flags("Proto", "proto", vocabulary["Proto"]),
         c.is_common_port(q("Sport")).alias("is_common_src_port"),
         c.is_common_port(q("Dport")).alias("is_common_dst_port"),
         *rows.value_flags("State", "state", vocabulary["State"]),
-    )
+    ]
 
 
 def clean_ugr(df: DataFrame, time_format: str | None = None) -> DataFrame:
@@ -100,25 +106,33 @@ def ugr_vocabulary(df: DataFrame) -> dict[str, list[Any]]:
     }
 
 
-def ugr_features(df: DataFrame, vocabulary: Mapping[str, Sequence[Any]]) -> DataFrame:
-    total = c.total_packets(q("packets_fwd"), q("packets_bwd"))
-    return df.select(
-        "*",
-        *_time_features("timestamp"),
-        total.alias("total_packets"),
+def ugr_ratios() -> list[Column]:
+    total = q("total_packets")
+    return [
         c.fwd_packet_ratio(q("packets_fwd"), total).alias("fwd_packet_ratio"),
         c.bytes_per_packet(q("bytes_total"), total).alias("bytes_per_packet"),
         *[c.log_feature(q(x), null_as_zero=True).alias(f"{x}_log") for x in UGR_LOG_COLUMNS],
+    ]
+
+
+def ugr_features(vocabulary: Mapping[str, Sequence[Any]]) -> list[Column]:
+    """All per-row features, for one projection over labelled rows with `total_packets`."""
+    return [
+        *_time_features("timestamp"),
+        q("total_packets"),
+        *ugr_ratios(),
         *rows.value_flags("protocol", "proto", vocabulary["protocol"]),
         c.is_common_port(q("src_port")).alias("is_common_src_port"),
         c.is_common_port(q("dst_port")).alias("is_common_dst_port"),
         *rows.value_flags("dst_port", "dst_port", vocabulary["dst_port"]),
         *rows.value_flags("flags", "flag", vocabulary["flags"]),
-    )
+    ]
 
 
 def split_fit_apply(
-    df: DataFrame,
+    typed: DataFrame,
+    features: Sequence[Column],
+    nullable: Sequence[Column],
     label: str,
     ts: str,
     id_cols: Sequence[str] | None,
@@ -127,16 +141,22 @@ def split_fit_apply(
     val_size: float,
     hot_rows: int = scale.HOT_GROUP_ROWS,
 ) -> DataFrame:
-    """Stratified split, statistics from the train rows, joined to all rows.
+    """Incomplete rows out, stratified split, statistics from the train rows, joined to all rows.
 
-    The split is a comparison per row with a few cut keys, so it is not written out. Only the
-    handful of columns the fit reads are, for the train rows, because each family scans them.
+    `typed` is a written table. The split is a comparison per row with a few cut keys, so it is
+    not written out; only the handful of columns the fit reads are, for the train rows, because
+    each family scans them. The per-row features come last, in the final projection.
     """
-    split = sampling.stratified_split(df, label, id_cols, seed, test_size, val_size)
+    complete = rows.fill_missing(typed, "drop")
+    for feature in nullable:
+        complete = complete.where(feature.isNotNull())
+    split = sampling.stratified_split(complete, label, id_cols, seed, test_size, val_size)
     train = split.where(F.col("split") == "train").select(*[q(x) for x in behavior.fitting_columns(split, ts)])
     fitted = behavior.fit_features(materialize(train, "train"), ts, hot_rows=hot_rows)
     done = behavior.transform_features(split, fitted)
-    return done.select(*[q(x) for x in done.columns if x != "split"], "split")
+    base = [q(x) for x in typed.columns if x != "total_packets"]
+    block = [q(x) for x in done.columns if x not in split.columns]
+    return done.select(*base, *features, *block, "split")
 
 
 def preprocess_ctu(
@@ -150,11 +170,11 @@ def preprocess_ctu(
 ) -> DataFrame:
     """Clean, label, derive, drop incomplete rows, split, fit on train, apply to all.
 
-    The featured table is written once; the split, the fit and the apply read its columns.
+    Text is parsed once: the typed table is written and everything after reads it.
     """
-    labelled = label_ctu(clean_ctu(raw, time_format))
-    featured = rows.fill_missing(ctu_features(labelled, vocabulary or ctu_vocabulary(labelled)), "drop")
-    return split_fit_apply(materialize(featured, "featured"), "label", "StartTime", id_cols, seed, test_size, val_size)
+    typed = materialize(label_ctu(clean_ctu(raw, time_format)), "typed")
+    features = ctu_features(vocabulary or ctu_vocabulary(typed))
+    return split_fit_apply(typed, features, ctu_ratios(), "label", "StartTime", id_cols, seed, test_size, val_size)
 
 
 def preprocess_ugr(
@@ -167,7 +187,9 @@ def preprocess_ugr(
     keywords: Sequence[str] = c.MALICIOUS_KEYWORDS,
 ) -> DataFrame:
     labelled = label_ugr(clean_ugr(raw), keywords)
-    featured = rows.fill_missing(ugr_features(labelled, vocabulary or ugr_vocabulary(labelled)), "drop")
+    total = c.total_packets(q("packets_fwd"), q("packets_bwd"))
+    typed = materialize(labelled.withColumn("total_packets", total), "typed")
+    features = ugr_features(vocabulary or ugr_vocabulary(typed))
     return split_fit_apply(
-        materialize(featured, "featured"), "binary_label", "timestamp", id_cols, seed, test_size, val_size
+        typed, features, ugr_ratios(), "binary_label", "timestamp", id_cols, seed, test_size, val_size
     )
