@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowtide.catalog.registry import final, query, rnd, table
+from flowtide.catalog.registry import final, query, table
 from flowtide.functions.columns import q
 from flowtide.operators import evaluate
 

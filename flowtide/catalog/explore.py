@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from flowtide.catalog.registry import CTU, FLOWS, MARKED, SEED, final, flows, key_sql, query, rnd, split_sql, table
+from flowtide.catalog.registry import CTU, FLOWS, MARKED, final, flows, key_sql, query, split_sql, table
 from flowtide.catalog.behavior import parted
 from flowtide.catalog.rows import ctu, marked
 from flowtide.functions.columns import q

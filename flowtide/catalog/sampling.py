@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowtide.catalog.registry import MARKED, SEED, final, key_sql, query, rnd, split_sql, table
+from flowtide.catalog.registry import MARKED, SEED, final, key_sql, query, split_sql, table
 from flowtide.catalog.rows import marked
 from flowtide.functions.columns import q
 from flowtide.operators import sampling, scale
