@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,25 +30,49 @@ def build_session(app: str = "flowtide", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read, as the cluster names it in spark.checkpoint.dir.
 
-    Only a local master may fall back to a temporary folder; on a cluster a
-    machine-local folder would not survive the loss of an executor.
+    Where that is unset, a folder beside the session's tables is used: the
+    warehouse is always set and, on a cluster, shared.
     """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        jvm = sc._jvm
+        base = jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
+        folder = base.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(base).toString()
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="flowtide-"))
-    return sc.getCheckpointDir()
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+_runs: list[str] = []
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Intermediates written inside the block go to one folder, deleted at its end.
+
+    For whole jobs: write the result inside the block. A result that is still to
+    be computed reads its intermediates later and must not be made here.
+    """
+    folder = f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    _runs.append(folder)
+    try:
+        yield folder
+    finally:
+        _runs.remove(folder)
+        delete_path(spark, folder)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; every call gives a new one."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder (in the open run's folder, if any); every call gives a new one."""
+    base = _runs[-1] if _runs else shared_dir(spark).rstrip("/")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 DRIVER_ROWS = 20_000
