@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowtide.llm.common import map_text, unit_hash
+from flowtide.operators.scale import small
 
 BLOCK = 1024
 LANES = 2_000_000
@@ -211,7 +212,7 @@ def learn(docs: DataFrame, learn_from: Column, text: str = "text", lang: str = "
     counts = rows.groupBy(F.col(lang).alias("lang")).count()
     picked = (
         rows.select(F.col(lang).alias("lang"), F.substring(text, 1, sample_chars).alias("text"), unit_hash(doc_id, seed=3).alias("_u"), F.col(doc_id).alias("_id"))
-        .join(counts, "lang")
+        .join(small(counts), "lang")
         .where(F.col("_u") < F.lit(2.0 * sample_docs) / F.col("count"))
         .withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("_u", "_id", "text")))
         .where(F.col("_n") <= sample_docs)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.llm import decontamination, language, pieces, quality, token_counts, toxicity
+from flowtide.llm import decontamination, fingerprints, language, personal_data, pieces, quality, sharding, token_counts, toxicity
 from flowtide.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+@query("op1_personal_data")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = personal_data.find_spans(_documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(personal_data.KINDS[:4])]
+    return spans.select("doc_id", *counts, F.sha2(personal_data.listed(base), 256).alias("base_sha256"), personal_data.listed(F.col("spans")).alias("spans"))
+
+
 @query("op2_toxicity")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = _documents(spark, sf_dir), fold("doc_id", 4, 2)
@@ -44,6 +56,33 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+# CRC-32 in SQL: the table from its polynomial by rule, then one step per byte of the UTF-8 text.
+_CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i,
+    list_reduce(list_prepend(i, generate_series(1, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM (SELECT unnest(generate_series(0::BIGINT, 255)) AS i)))"""
+_UTF8 = """flatten(list_transform(list_transform(string_split(text, ''), lambda ch: unicode(ch)::BIGINT), lambda u: CASE WHEN u < 128 THEN [u]
+    WHEN u < 2048 THEN [192 + u // 64, 128 + u % 64] WHEN u < 65536 THEN [224 + u // 4096, 128 + u // 64 % 64, 128 + u % 64]
+    ELSE [240 + u // 262144, 128 + u // 4096 % 64, 128 + u // 64 % 64, 128 + u % 64] END))"""
+
+
+@query(
+    "op5_sharding",
+    f"""
+WITH {_CRC_TABLE},
+docs AS (SELECT doc_id, source, coalesce(text, '') AS text, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, md5(concat_ws(':', doc_id, '42')) AS k FROM documents),
+crc AS (SELECT doc_id, source, size, k, CASE WHEN text = '' THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT, {_UTF8}),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) END AS text_crc32 FROM docs, crc_table),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, doc_id, text_crc32, size) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM crc),
+placed AS (SELECT *, row_number() OVER (ORDER BY (2 * r + 1) / (2 * n), source NULLS FIRST, k, doc_id, text_crc32, size) - 1 AS p, count(*) OVER () AS total FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p * 16 // total AS INTEGER) AS shard,
+    CAST(p - (p * 16 // total * total + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.interleave(_documents(spark, sf_dir))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op6_pieces")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every whole text, decodes the ids again and reports digests of both."""
@@ -71,6 +110,49 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_tokens", "n_tokens_edited", "n_pretokens_recounted", F.sha2("edited_text", 256).alias("edited_sha256"))
 
 
+_LOWER = "translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _sketch_sql(text: str) -> str:
+    """Bottom-128 sketch of a text in the other engine's SQL."""
+    w = f"regexp_extract_all({_LOWER.format(t=text)}, '[^\\x20\\x09-\\x0D]+')"
+    hashes = "list_transform(generate_series(1, greatest(1, len(w) - 4)), lambda i: md5(array_to_string(w[i:i + 4], ' '))[1:16])"
+    return f"(SELECT CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct({hashes}))[1:128] END FROM (SELECT {w} AS w))"
+
+
+def _near_sql(a: str, b: str) -> str:
+    both = f"list_sort(list_distinct(list_concat({a}, {b})))[1:128]"
+    return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE len(list_intersect({both}, list_intersect({a}, {b})))::DOUBLE / len({both}) END"
+
+
+@query(
+    "op8_fingerprints",
+    f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, len(coalesce(text, '')) AS n FROM documents),
+nexts AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS nt
+    FROM docs WINDOW w AS (ORDER BY doc_id DESC, md5(text) DESC)),
+edits AS (SELECT doc_id, n, text, nt, concat(text[1:n - n // 3], CASE WHEN n // 3 > 0 THEN nt[1:n // 3] ELSE '' END) AS ed FROM nexts),
+prints AS (SELECT doc_id, n, ed, {_sketch_sql('text')} AS a, {_sketch_sql('ed')} AS b, {_sketch_sql('nt')} AS c FROM edits)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(ed) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+    {_near_sql('a', 'b')} AS near_edited, {_near_sql('a', 'c')} AS near_next
+FROM prints""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = fingerprints.with_next(fingerprints.sketch(docs), ["text", "sketch"], "doc_id", "text")
+    rows = rows.withColumn("edited", fingerprints.edited(F.col("text"), F.col("_next_text")))
+    rows = fingerprints.sketch(rows, "edited", "edited_sketch")
+    return rows.select(
+        "doc_id",
+        F.char_length("text").cast("bigint").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.array_join("sketch", "").alias("fingerprint"),
+        F.array_join("edited_sketch", "").alias("edited_fingerprint"),
+        fingerprints.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprints.resemblance(F.col("sketch"), F.col("_next_sketch")).alias("near_next"),
+    )
+
+
 _WORDS = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
     "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
