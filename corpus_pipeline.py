@@ -1,5 +1,85 @@
-"""A corpus preparation job as a chain of stages, and the text operators' queries."""
+"""A corpus preparation job as a chain of stages, and the text operators' queries.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before
+kept; between stages the documents are written and read again.
+"""
 
 from __future__ import annotations
 
-from flowtide.llm.queries import ORACLES, QUERIES  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowtide.llm import decontamination, jaccard_join, language, personal_data, pieces
+from flowtide.llm.common import fold, table
+from flowtide.llm.queries import ORACLES, QUERIES
+from flowtide.operators.scale import small
+from flowtide.session import materialize
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns the languages from the labelled documents and drops those in none of them."""
+    model = language.learn(docs, ~fold("doc_id", 4, 2))
+    names = ("_lang_pred", "_lang_score", "_lang_bits", "_lang_symbols")
+    read = language.predict(docs, model, keep=docs.columns, names=names)
+    return read.where(~language.rejected("_lang_pred", "_lang_bits", "_lang_symbols")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of linked documents the one with the smallest id stays; of repeated rows one."""
+    near = materialize(jaccard_join.near_duplicates(docs), "near-duplicates")
+    gone = small(near.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(gone, "doc_id", "left_anti")
+    again = near.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    again = materialize(again, "repeated-ids")
+    if again.isEmpty():
+        return kept
+    again = small(again)
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(once)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold too much benchmark text."""
+    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns, prefix="_found_")
+    return found.where(~decontamination.is_contaminated("_found_")).select(*docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind; n_chars follows the new text."""
+    found = personal_data.find_spans(docs, keep=docs.columns, out="_spans")
+    clean = found.withColumn("_masked", personal_data.masked(F.col("text"), F.col("_spans")))
+    fresh = {"text": F.col("_masked"), "n_chars": F.char_length("_masked").cast(docs.schema["n_chars"].dataType)}
+    return clean.select(*[fresh[c].alias(c) if c in fresh else F.col(f"`{c}`") for c in docs.columns])
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, with the digest of what they decode to."""
+    vocabulary = pieces.Vocabulary.load()
+    encoded = pieces.encode(docs, vocabulary, keep=("doc_id", "lang", "source"))
+    decoded = pieces.decode(encoded.withColumn("pieces", F.col("ids")), vocabulary, ("doc_id", "lang", "source", "pieces"), "_text")
+    return decoded.select("doc_id", "lang", "source", F.size("pieces").cast("bigint").alias("n_pieces"), "pieces", F.sha2("_text", 256).alias("text_sha256"))
+
+
+STAGES = [
+    ("language", keep_known_languages),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", mask_personal_data),
+    ("pieces", encode_pieces),
+]
+
+# Learnt models and the tokenizer's scores are not SQL; tests hold run() against plain Python.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other, each written and read again for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {**QUERIES, "pipeline": run}
+
+__all__ = ["ORACLES", "ORACLE_SQL", "QUERIES", "STAGES", "run"]

@@ -119,28 +119,29 @@ def find_contamination(
     item_text: str = "text",
     keep: list[str] | None = None,
     slice_bytes: int = 256 << 20,
+    prefix: str = "",
 ) -> DataFrame:
     """Per document: n_words, spans (start, end in words, joined), items (sorted ids) and n_hit.
 
-    `keep` names the columns passed through (default: the id).
+    `keep` names the columns passed through (default: the id); `prefix` goes before the result's names.
     """
     sc = docs.sparkSession.sparkContext
     keep = [doc_id] if keep is None else keep
     current = docs
-    fields = "n_words bigint, n_hit bigint, spans array<struct<start:int,end:int>>, items array<string>"
-    names = ["n_words", "n_hit", "spans", "items"]
+    fields = f"`{prefix}n_words` bigint, `{prefix}n_hit` bigint, `{prefix}spans` array<struct<start:int,end:int>>, `{prefix}items` array<string>"
+    names = [f"{prefix}{n}" for n in ("n_words", "n_hit", "spans", "items")]
     carried: list[str] = []
     slices = 0
     for part in _slices(benchmark, item_id, item_text, slice_bytes):
         shared, slices = sc.broadcast(windows(part)), slices + 1
-        current = _scan(current, shared, fields, keep, text, carried)
+        current = _scan(current, shared, fields, keep, text, carried, prefix)
         carried = names
     if not slices:
-        current = _scan(docs, sc.broadcast({}), fields, keep, text, [])
+        current = _scan(docs, sc.broadcast({}), fields, keep, text, [], prefix)
     return current.select(*[F.col(f"`{c}`") for c in keep if c not in names], *names)
 
 
-def _scan(docs: DataFrame, shared, fields: str, keep: list[str], text: str, carried: list[str]) -> DataFrame:
+def _scan(docs: DataFrame, shared, fields: str, keep: list[str], text: str, carried: list[str], prefix: str) -> DataFrame:
     """One pass with one slice; hits of an earlier slice are merged in the same projection."""
     now = map_text(
         docs.withColumnsRenamed({c: f"_was_{c}" for c in carried}),
@@ -151,17 +152,16 @@ def _scan(docs: DataFrame, shared, fields: str, keep: list[str], text: str, carr
     )
     if not carried:
         return now
-    return now.withColumns(
-        {
-            "items": F.array_sort(F.array_union("_was_items", "items")),
-            "spans": F.expr(
-                "aggregate(array_sort(concat(_was_spans, spans)), cast(array() as array<struct<start:int,end:int>>), "
-                "(a, s) -> CASE WHEN size(a) > 0 AND s.start <= element_at(a, -1).end "
-                "THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(s.end, element_at(a, -1).end)))) "
-                "ELSE concat(a, array(s)) END)"
-            ),
-        }
-    ).withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")).drop(*[f"_was_{c}" for c in carried])
+    spans = (
+        f"aggregate(array_sort(concat(`_was_{prefix}spans`, `{prefix}spans`)), cast(array() as array<struct<start:int,end:int>>), "
+        "(a, s) -> CASE WHEN size(a) > 0 AND s.start <= element_at(a, -1).end "
+        "THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(s.end, element_at(a, -1).end)))) "
+        "ELSE concat(a, array(s)) END)"
+    )
+    items = F.array_sort(F.array_union(f"_was_{prefix}items", f"{prefix}items"))
+    merged = now.withColumns({f"{prefix}items": items, f"{prefix}spans": F.expr(spans)})
+    covered_words = F.expr(f"aggregate(`{prefix}spans`, 0L, (n, s) -> n + s.end - s.start)")
+    return merged.withColumn(f"{prefix}n_hit", covered_words).drop(*[f"_was_{c}" for c in carried])
 
 
 _built: dict[int, tuple[dict, WuManber]] = {}
@@ -191,6 +191,7 @@ def _scanner(shared):
     return work
 
 
-def is_contaminated() -> Column:
-    """The contract's rule: at least one word in twenty is inside an occurrence."""
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+def is_contaminated(prefix: str = "") -> Column:
+    """At least one word in twenty is inside an occurrence."""
+    hit = F.col(f"{prefix}n_hit")
+    return (hit > 0) & (20 * hit >= F.col(f"{prefix}n_words"))

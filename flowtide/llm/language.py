@@ -239,3 +239,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[st
     shared = docs.sparkSession.sparkContext.broadcast(model.packed())
     kinds = ("string", "double", "double", "bigint")
     return map_text(docs, lambda: _predictor(shared), ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)), keep, text)
+
+
+def rejected(lang: str = "lang_pred", bits: str = "bits", n_symbols: str = "n_symbols", limit: float = 8.0, at_least: int = 64) -> Column:
+    """No letters at all, or a text of some length that no learnt language explains better than plain bytes (8 bits a symbol)."""
+    return (F.col(lang) == "und") | ((F.col(n_symbols) >= at_least) & (F.col(bits) > limit))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.llm import decontamination, fingerprints, language, personal_data, pieces, quality, sharding, token_counts, toxicity
+from flowtide.llm import decontamination, fingerprints, jaccard_join, language, personal_data, pieces, quality, sharding, token_counts, toxicity
 from flowtide.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 3, 1)
     scored = quality.fit_and_score(_documents(spark, sf_dir), table(spark, sf_dir, "labels"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+_SHINGLES_SQL = f"""
+words AS (SELECT doc_id, regexp_extract_all({_LOWER.format(t='text')}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (
+    SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2)
+    JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION
+    SELECT reach.doc_id, CASE WHEN links.a = reach.r THEN links.b ELSE links.a END FROM reach JOIN links ON links.a = reach.r OR links.b = reach.r)"""
+
+
+@query(
+    "op4_jaccard_join",
+    f"""
+WITH RECURSIVE {_SHINGLES_SQL}
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_documents(spark, sf_dir))
