@@ -85,6 +85,7 @@ def with_next(docs: DataFrame, columns: list[str], doc_id: str, text: str, bucke
     """
     pieces = min(20_000, max(2, docs.count() // bucket_rows))
     bucketed = with_bucket(docs, doc_id, value_splits(docs, doc_id, pieces)).withColumn("_tie", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    bucketed = bucketed.withColumn("_bucket", F.coalesce("_bucket", F.lit(pieces + 1)))  # rows without id come first
     order = F.struct(F.col(doc_id).isNull().alias("missing"), F.col(doc_id).alias("id"), F.col("_tie").alias("tie"))
     heads = bucketed.groupBy("_bucket").agg(F.max(order).alias("_head"))
     everything = W.partitionBy(F.lit(0))
