@@ -160,6 +160,11 @@ def _(spark, sf):
     return explore.top_shares(marked(spark, sf).where(q("is_malicious") == 1), ["src_ip"])
 
 
+@query("d22_top_destinations", _top_sql("dst_ip"))
+def _(spark, sf):
+    return explore.top_shares(marked(spark, sf).where(q("is_malicious") == 1), ["dst_ip"])
+
+
 @query("d22_top_service_pairs", _top_sql("protocol", "dst_port"))
 def _(spark, sf):
     return explore.top_shares(marked(spark, sf).where(q("is_malicious") == 1), ["protocol", "dst_port"])
@@ -252,8 +257,8 @@ def _(spark, sf):
     f"WITH {FLOWS} "
     + " UNION ALL ".join(
         f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM flows"
-        for i, a in enumerate(_NUMERIC)
-        for b in _NUMERIC[i + 1 :]
+        for a in _NUMERIC
+        for b in _NUMERIC
     ),
 )
 def _(spark, sf):

@@ -110,7 +110,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "splits")
     files.write_splits(parted(spark, sf).select("event_id", "protocol", "split"), path)
-    described = schema.resolve_schema({"data_path": path, "filters": {"protocol": {"include": ["TCP", "UDP"]}}})
+    described = schema.processed_data(path, row_filters={"protocol": {"include": ["TCP", "UDP"]}})
     return files.load_splits(spark, described, ["train", "val"])
 
 
@@ -126,7 +126,7 @@ def _(spark, sf):
     )
     for name in ("val", "test"):
         files.write_flows(df.where(q("split") == name).drop("split"), f"{path}/ctu13_{name}.parquet")
-    described = schema.resolve_schema({"data_path": path, "time_column": "timestamp_seconds"})
+    described = schema.processed_data(path, time="timestamp_seconds")
     return files.load_splits(spark, described, ["train", "val", "test"], allow_missing=True)
 
 
@@ -173,13 +173,12 @@ def _(spark, sf):
     f"WITH {MARKED} SELECT CAST(is_malicious AS BIGINT) AS binary_label, count(*) AS n FROM marked WHERE dst_port <= 50 GROUP BY 1",
 )
 def _(spark, sf):
-    found = schema.resolve_schema({"dataset": "ugr16", "filters": {"dst_port": {"max": 50}}})
     path = files.write_splits(
         marked(spark, sf).select("dst_port", q("is_malicious").alias("binary_label"), F.lit("train").alias("split")),
         scratch_path(spark, "ugr"),
     )
-    df = files.load_splits(spark, schema.resolve_schema({"dataset": "ugr16", "data_path": path, "filters": found.filters}), ["train"])
-    return final(explore.class_distribution(df, found.label_column))
+    described = schema.processed_data(path, "ugr16", row_filters={"dst_port": {"max": 50}})
+    return final(explore.class_distribution(files.load_splits(spark, described, ["train"]), described.label))
 
 
 @query(

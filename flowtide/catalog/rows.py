@@ -318,11 +318,11 @@ def _(spark, sf):
     f"""WITH {MARKED} SELECT event_id, {rnd('duration')}, src_port, dst_port, tos, packets_fwd, packets_bwd, {rnd('bytes_total')}, total_packets FROM marked""",
 )
 def _(spark, sf):
-    from flowtide.sources.schema import resolve_schema
+    from flowtide.sources.schema import processed_data
 
     df = marked(spark, sf).withColumn("binary_label", q("is_malicious"))
-    schema = resolve_schema({"dataset": "ugr16"})
-    return final(df.select(*[q(x) for x in rows.select_features(df, schema.features_to_drop, schema.label_column)]))
+    described = processed_data("", "ugr16")
+    return final(df.select(*[q(x) for x in rows.select_features(df, described.not_features, described.label)]))
 
 
 @query(

@@ -112,7 +112,14 @@ def _(spark, sf):
     return final(sampling.stratified_kfold(df, K, "o_orderstatus", ID, SEED))
 
 
-@query("h6_stratified_group_kfold")
+@query(
+    "h6_stratified_group_kfold",
+    f"""WITH c AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2),
+    g AS (SELECT o_custkey, max(n) AS most, sum(n) AS size FROM c GROUP BY 1),
+    r AS (SELECT o_custkey, row_number() OVER (ORDER BY most DESC, size DESC, md5(concat('{{"o_custkey":', o_custkey, '}}:{SEED}'))) - 1 AS r FROM g)
+    SELECT o_orderkey, o_custkey, o_orderstatus, CAST(CASE WHEN r // {K} % 2 = 0 THEN r % {K} ELSE {K - 1} - r % {K} END AS BIGINT) AS fold
+    FROM orders JOIN r USING (o_custkey)""",
+)
 def _(spark, sf):
     df = orders(spark, sf).select("o_orderkey", "o_custkey", "o_orderstatus")
     return final(sampling.stratified_group_kfold(df, K, "o_orderstatus", "o_custkey", SEED))

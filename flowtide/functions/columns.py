@@ -87,7 +87,7 @@ def fill_tos(column: Column) -> Column:
 
 def contains_word(column: Column, word: str = "Botnet") -> Column:
     """1 when the text holds the word in any case; NULL text counts as 0."""
-    return F.coalesce(column.ilike(f"%{word}%"), F.lit(False)).cast("int")
+    return F.coalesce(F.contains(F.lower(column), F.lit(word.lower())), F.lit(False)).cast("int")
 
 
 def contains_any(column: Column, words: Sequence[str] = MALICIOUS_KEYWORDS) -> Column:

@@ -45,21 +45,27 @@ def with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def inter_arrival(
     df: DataFrame, keys: Sequence[str], ts: str, out: str = "iat", hot_rows: int = scale.HOT_GROUP_ROWS
 ) -> DataFrame:
-    """Seconds since the previous flow of the group; NULL for the first.
+    """Seconds since the previous flow of the group; NULL for the first and for rows without a key or time.
 
     Groups above `hot_rows` are cut at timestamps: the difference is taken inside every
     piece, and a piece's first row looks up the end of the piece before it.
     """
     keys = list(keys)
-    rows = df.withColumn("_us", micros(q(ts)))
+    no_key = F.lit(False)
+    for key in keys:
+        no_key = no_key | q(key).isNull()
+    names = [q(c) for c in df.columns]
+    keyless = df.where(no_key).select(*names, F.lit(None).cast("double").alias(out))
+    rows = with_keys(df, keys).withColumn("_us", micros(q(ts)))
     hot = scale.hot_groups(rows, keys, hot_rows)
 
     def plain(part: DataFrame) -> DataFrame:
-        w = Window.partitionBy(*[q(k) for k in keys]).orderBy("_us")
-        return part.withColumn(out, (F.col("_us") - F.lag("_us").over(w)) / 1e6)
+        w = Window.partitionBy(*[q(k) for k in keys]).orderBy("_us", "_key")
+        keyed = part.withColumn("_key", scale.row_key(part, None, 0))
+        return keyed.withColumn(out, (F.col("_us") - F.lag("_us").over(w)) / 1e6).drop("_key")
 
     if hot is None:
-        return plain(rows).drop("_us")
+        return plain(rows).drop("_us").unionByName(keyless)
     hot_keys = scale.small(hot.select(*[q(k) for k in keys]))
     cold = plain(rows.join(hot_keys, keys, "left_anti"))
     timed = rows.join(hot_keys, keys, "left_semi")
@@ -78,12 +84,13 @@ def inter_arrival(
     lookup = steps.select(*[q(c) for c in at], "_step").join(leaders, at)
     found = scale.left_join_stats(counted, lookup, at, scale.hot_groups(counted, at, hot_rows))
     leads = F.col("_key") == F.col("_leader")
-    names = [q(c) for c in df.columns]
     led = found.where(leads).select(*names, (F.col("_step") / 1e6).alias(out))
     zeros = found.select(*names, F.lit(0.0).alias(out), (F.col("_n") - leads.cast("bigint")).alias("_n"))
     rest = scale.repeat_rows(zeros, "_n")
-    parts = [cold.select(*names, q(out)), led, rest, untimed.select(*names, q(out))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    whole = cold.select(*names, q(out))
+    for part in (led, rest, untimed.select(*names, q(out)), keyless):
+        whole = whole.unionByName(part)
+    return whole
 
 
 def _previous_times(pieces: DataFrame, keys: list[str]) -> DataFrame:

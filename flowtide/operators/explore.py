@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtide.functions.columns import no_nan, q, short_label
@@ -17,6 +17,12 @@ def _share(part: Column, total: int) -> Column:
     return part / F.lit(float(total)) * 100 if total else F.lit(None).cast("double")
 
 
+def _with_share(counts: DataFrame, out: str, flows: str = "flows") -> DataFrame:
+    """Share of all rows, for tables with a row per class: the total is the sum of the counts."""
+    total = F.sum(q(flows)).over(Window.partitionBy(F.lit(0)))
+    return counts.withColumn(out, q(flows) / total.cast("double") * 100)
+
+
 def class_stats(df: DataFrame, label: str, min_pos: int = 0) -> DataFrame:
     """One row: negatives, positives and their ratio; NULL ratio without positives unless `min_pos` is 1."""
     row = df.agg(F.count_if(q(label) == 0).alias("neg"), F.count_if(q(label) == 1).alias("pos"))
@@ -71,8 +77,7 @@ def label_summary(
     aggs = [F.count(F.lit(1)).alias("flows")]
     aggs += [F.avg(q(c)).alias(n) for n, c in means.items()]
     aggs += [F.sum(q(c)).alias(n) for n, c in (sums or {}).items()]
-    found = df.where(q(label).isNotNull()).groupBy(q(label)).agg(*aggs)
-    found = found.withColumn("flow_pct", _share(F.col("flows"), df.count()))
+    found = _with_share(df.groupBy(q(label)).agg(*aggs), "flow_pct").where(q(label).isNotNull())
     for name, column in (medians or {}).items():
         middle = scale.exact_quantiles(df, [label], column, [0.5])
         found = found.join(middle.select(q(label), F.col("quantile").alias(name)), label, "left")
@@ -105,9 +110,8 @@ def label_summary_ugr(df: DataFrame, label: str = "label", top: int | None = 20)
 
 
 def flag_comparison(df: DataFrame, flag: str, means: Mapping[str, str]) -> DataFrame:
-    """Flows, share and means per flag value."""
-    found = df.groupBy(q(flag)).agg(F.count(F.lit(1)).alias("flows"), *[F.avg(q(c)).alias(n) for n, c in means.items()])
-    return found.withColumn("flow_pct", _share(F.col("flows"), df.count()))
+    """Flows and means per flag value."""
+    return df.groupBy(q(flag)).agg(F.count(F.lit(1)).alias("flows"), *[F.avg(q(c)).alias(n) for n, c in means.items()])
 
 
 def malicious_comparison(df: DataFrame, flag: str = "is_malicious") -> DataFrame:
@@ -117,12 +121,12 @@ def malicious_comparison(df: DataFrame, flag: str = "is_malicious") -> DataFrame
         "avg_packets_bwd": "packets_bwd",
         "avg_bytes": "bytes_total",
     }
-    return flag_comparison(df, flag, means).drop("flow_pct")
+    return flag_comparison(df, flag, means)
 
 
 def botnet_means(df: DataFrame, flag: str = "is_botnet") -> DataFrame:
     means = {"avg_dur": "Dur", "avg_tot_pkts": "TotPkts", "avg_tot_bytes": "TotBytes", "avg_src_bytes": "SrcBytes"}
-    return flag_comparison(df, flag, means)
+    return _with_share(flag_comparison(df, flag, means), "flow_pct")
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = None, keep_null: bool = False) -> DataFrame:
@@ -138,19 +142,21 @@ top_k = value_counts
 
 def top_n_others(df: DataFrame, column: str, n: int = 10, keep_null: bool = False) -> DataFrame:
     """Top-n values plus an 'Others' row when anything is left, with shares of all rows."""
-    rows = df if keep_null else df.where(q(column).isNotNull())
-    total, counted = df.count(), rows.count()
-    top = value_counts(df, column, n, keep_null).select(F.col("value").cast("string").alias("value"), "flows")
+    counts = df.groupBy(q(column).alias("value")).agg(F.count(F.lit(1)).alias("flows"))
+    sizes = counts.agg(F.sum("flows").alias("all"), F.sum(F.when(F.col("value").isNotNull(), F.col("flows"))).alias("known")).first()
+    total, counted = sizes["all"] or 0, (sizes["all"] if keep_null else sizes["known"]) or 0
+    listed = counts if keep_null else counts.where(F.col("value").isNotNull())
+    top = listed.orderBy(F.desc("flows"), F.asc("value")).limit(n).select(F.col("value").cast("string").alias("value"), "flows")
     others = top.agg((F.lit(counted) - F.coalesce(F.sum("flows"), F.lit(0))).alias("flows"))
     others = others.select(F.lit("Others").alias("value"), "flows").where(F.col("flows") > 0)
     return top.unionByName(others).withColumn("pct", _share(F.col("flows"), total))
 
 
 def crosstab(df: DataFrame, a: str, b: str, values: Sequence[Any] | None = None) -> DataFrame:
-    """Counts of a (rows) by b (columns), absent pairs as 0."""
+    """Counts of a (rows) by b (columns), absent pairs as 0; without `values`, the 50 most frequent values of b."""
     both = df.where(q(a).isNotNull() & q(b).isNotNull())
     if values is None:
-        values = [r[0] for r in both.select(q(b)).distinct().orderBy(q(b)).collect()]
+        values = sorted(row_ops.top_values(both, b, 50))
     return both.groupBy(q(a)).pivot(b, list(values)).agg(F.count(F.lit(1))).na.fill(0)
 
 
@@ -180,8 +186,7 @@ def crosstab_col_pct(df: DataFrame, a: str, flag: str, k: int = 10) -> DataFrame
 
 
 def scenario_counts(df: DataFrame, scenario: str = "scenario") -> DataFrame:
-    counts = df.groupBy(q(scenario)).agg(F.count(F.lit(1)).alias("flows"))
-    return counts.withColumn("pct", _share(F.col("flows"), df.count()))
+    return _with_share(df.groupBy(q(scenario)).agg(F.count(F.lit(1)).alias("flows")), "pct")
 
 
 def scenario_label_mix(df: DataFrame, scenario: str = "scenario", flag: str = "is_botnet") -> DataFrame:
@@ -202,12 +207,13 @@ def top_shares(df: DataFrame, columns: Sequence[str], k: int = 10) -> DataFrame:
 
     On malicious rows this gives the top hosts (one column) and service pairs (two).
     """
-    rows = df
+    counts = df.groupBy(*[q(c) for c in columns]).agg(F.count(F.lit(1)).alias("flows"))
+    total = counts.agg(F.sum("flows").cast("double")).scalar()  # shares the counting shuffle
+    known = counts
     for c in columns:
-        rows = rows.where(q(c).isNotNull())
-    counts = rows.groupBy(*[q(c) for c in columns]).agg(F.count(F.lit(1)).alias("flows"))
-    top = counts.orderBy(F.desc("flows"), *[q(c).asc() for c in columns]).limit(k)
-    return top.withColumn("pct", F.round(_share(F.col("flows"), df.count()), 2))
+        known = known.where(q(c).isNotNull())
+    top = known.orderBy(F.desc("flows"), *[q(c).asc() for c in columns]).limit(k)
+    return top.withColumn("pct", F.round(F.col("flows") / total * 100, 2))
 
 
 def time_bin(ts: Column, width_seconds: int = 3600) -> Column:
@@ -282,26 +288,32 @@ def dataset_overview(
     df: DataFrame, ts: str, distinct: Mapping[str, str], approximate: bool = False
 ) -> DataFrame:
     """One row: rows, first and last time, span in seconds, distinct values (name -> column)."""
-    count = F.approx_count_distinct if approximate else F.count_distinct
     seconds = F.unix_seconds(q(ts).cast("timestamp"))
+
+    def values(column: str) -> Column:
+        """Each column is made distinct on its own; several in one aggregate would multiply the rows."""
+        return df.select(q(column)).where(q(column).isNotNull()).distinct().agg(F.count(F.lit(1))).scalar()
+
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min(q(ts)).alias("first_time"),
         F.max(q(ts)).alias("last_time"),
         (F.max(seconds) - F.min(seconds)).alias("span_seconds"),
-        *[count(q(c)).alias(n) for n, c in distinct.items()],
+        *[(F.approx_count_distinct(q(c)) if approximate else values(c)).alias(n) for n, c in distinct.items()],
     )
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair over the rows where both are present, as (a, b, corr)."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     cells = [
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(q(a).cast("double"), q(b).cast("double")).alias("corr"))
         for a, b in pairs
     ]
     half = df.agg(F.array(*cells).alias("m")).select(F.explode("m").alias("z")).select("z.*")
-    return half
+    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b", "corr")))
+    mirrored = sides.otherwise(F.array(F.struct("a", "b", "corr"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "corr")))
+    return half.select(F.explode(mirrored).alias("z")).select("z.*")
 
 
 def histogram(

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from flowtide.functions.columns import micros, q
 from flowtide.operators import scale
+from flowtide.session import materialize
 
 ROLE_TRAIN, ROLE_TEST = "train", "test"
+NO_TIME = (1 << 62)  # microseconds after any date
 
 
 def shuffle(df: DataFrame, id_cols: Sequence[str] | None, seed: int, out: str = "shuffle_key") -> DataFrame:
@@ -144,39 +146,28 @@ def stratified_kfold(
     return placed.withColumn(out, F.col("_fold").cast("int")).drop("_fold")
 
 
-def stratified_group_kfold(
-    df: DataFrame, k: int, label: str, group: str, seed: int, out: str = "fold", greedy_groups: int = 100_000
-) -> DataFrame:
+def stratified_group_kfold(df: DataFrame, k: int, label: str, group: str, seed: int, out: str = "fold") -> DataFrame:
     """Adds a fold so that no group spans two; rows without a group form one group.
 
-    The `greedy_groups` largest groups are placed one by one so that the class mix stays
-    balanced, widest class spread first; smaller ones beyond that number balance out by hash.
+    Groups in order of their largest class, then size, then seeded hash are dealt to the
+    folds in snake order (0..k-1, then back), so folds get groups of like size and mix.
     """
     name = F.coalesce(F.to_json(F.struct(q(group))), F.lit("{}"))
     rows = df.withColumn("_group", name)
-    labels = [r[0] for r in df.select(q(label)).distinct().orderBy(q(label)).collect()]
-    per_label = [F.count_if(q(label).eqNullSafe(F.lit(v))).alias(f"n{i}") for i, v in enumerate(labels)]
-    hashed = F.md5(F.concat_ws(":", F.col("_group"), F.lit(str(seed))))
-    table = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("n"), *per_label)
-    largest = table.orderBy(F.desc("n"), hashed).limit(greedy_groups).orderBy(hashed).collect()
-    sizes = np.array([[r[f"n{i}"] for i in range(len(labels))] for r in largest], dtype=float)
-    order = np.argsort(-sizes.std(axis=1), kind="stable")
-    per_class = np.maximum(sizes.sum(axis=0), 1.0)
-    load = np.zeros((k, len(labels)))
-    folds = []
-    for g in order:
-        tried = []
-        for i in range(k):
-            load[i] += sizes[g]
-            tried.append((round(float(np.std(load / per_class, axis=0).mean()), 12), load[i].sum(), i))
-            load[i] -= sizes[g]
-        best = min(tried)[2]
-        load[best] += sizes[g]
-        folds.append((largest[g]["_group"], best))
-    mapping = df.sparkSession.createDataFrame(folds, f"_group string, {out} int")
+    per_class = rows.groupBy("_group", q(label)).agg(F.count(F.lit(1)).alias("_n"))
+    groups = per_class.groupBy("_group").agg(F.max("_n").alias("_most"), F.sum("_n").alias("_size"))
+    groups = materialize(groups, "groups")
+    # Rank by (largest class, size): the distinct pairs are counted, groups of one pair are ranked by hash.
+    steps = groups.groupBy("_most", "_size").agg(F.count(F.lit(1)).alias("_of"))
+    falling = Window.partitionBy(F.lit(0)).orderBy(F.desc("_most"), F.desc("_size"))
+    steps = steps.select("_most", "_size", (F.sum("_of").over(falling) - F.col("_of")).alias("_before"))
+    ranked = scale.distributed_rank(groups, ["_most", "_size"], ["_group"], seed, "_rank").join(steps, ["_most", "_size"])
+    place = F.col("_before") + F.col("_rank")
+    step = place % k
+    fold = F.when(F.floor(place / k) % 2 == 0, step).otherwise(k - 1 - step).cast("int")
+    mapping = ranked.select("_group", fold.alias(out))
     joined = scale.left_join_stats(rows, mapping, ["_group"], scale.hot_groups(rows, ["_group"]))
-    by_hash = F.pmod(F.xxhash64("_group", F.lit(seed)), F.lit(k)).cast("int")
-    return joined.select(*[q(c) for c in df.columns], F.coalesce(q(out), by_hash).alias(out))
+    return joined.select(*[q(c) for c in df.columns], q(out))
 
 
 def time_series_bounds(
@@ -198,8 +189,8 @@ def time_series_bounds(
 
 
 def time_key(df: DataFrame, ts: str, id_cols: Sequence[str]) -> DataFrame:
-    """Total order for time cuts: microseconds, then a hash of the id for equal timestamps."""
-    return df.withColumn("_us", micros(q(ts))).withColumn("_tie", scale.row_key(df, id_cols, 0))
+    """Total order for time cuts: microseconds, then a hash of the id for equal timestamps; rows without a time last."""
+    return df.withColumn("_us", F.coalesce(micros(q(ts)), F.lit(NO_TIME))).withColumn("_tie", scale.row_key(df, id_cols, 0))
 
 
 def _at_or_after(cut: tuple[int, str] | None) -> Column:
@@ -223,7 +214,7 @@ def time_series_split(
 
     Only the rows at the window bounds are looked up; all others are placed by comparison.
     """
-    timed = time_key(df.where(q(ts).isNotNull()), ts, id_cols)
+    timed = time_key(df, ts, id_cols)
     bounds = time_series_bounds(timed.count(), k, test_size, gap, max_train)
     cuts = scale.rows_at_ranks(timed, "_us", "_tie", [r for b in bounds for r in b])
     roles = []
@@ -237,7 +228,7 @@ def time_series_split(
 
 def first_n_by_time(df: DataFrame, n: int, ts: str, id_cols: Sequence[str]) -> DataFrame:
     """The n earliest rows, found as a cut instead of a global sort."""
-    timed = time_key(df.where(q(ts).isNotNull()), ts, id_cols)
+    timed = time_key(df, ts, id_cols)
     cut = scale.rows_at_ranks(timed, "_us", "_tie", [n]).get(n)
     rows = timed if cut is None else timed.where(~_at_or_after(cut))
     return rows.select(*[q(c) for c in df.columns])

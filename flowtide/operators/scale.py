@@ -189,7 +189,7 @@ def _bucket_quantiles(rows: DataFrame, keys: list[str], probs: Sequence[float],
             "prob",
             "_side",
             (F.col("_rank") - F.col("_before")).alias("_offset"),
-            (F.col("_pos") - F.floor("_pos")).alias("_frac"),
+            "_pos",
         )
     )
     at = [*keys, "_bucket"]
@@ -206,9 +206,10 @@ def _bucket_quantiles(rows: DataFrame, keys: list[str], probs: Sequence[float],
     ends = hit.groupBy(*group, "prob").agg(
         F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_lo"),
         F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_hi"),
-        F.max("_frac").alias("_frac"),
+        F.max("_pos").alias("_pos"),
     )
-    return ends.select(*group, "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias("quantile"))
+    between = (F.ceil("_pos") - F.col("_pos")) * F.col("_lo") + (F.col("_pos") - F.floor("_pos")) * F.col("_hi")
+    return ends.select(*group, "prob", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between).alias("quantile"))
 
 
 def running_totals(

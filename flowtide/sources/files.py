@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from flowtide.functions.columns import epoch_to_timestamp, q
 from flowtide.operators.evaluate import to_long
 from flowtide.operators.rows import add_split, apply_filters
-from flowtide.sources.schema import CTU_SCHEMA, DatasetSchema
+from flowtide.sources.schema import CTU_SCHEMA, ProcessedData
 
 CORRUPT = "_corrupt_record"
 SPLITS = ("train", "val", "test")
@@ -139,44 +139,44 @@ def write_metadata(row: DataFrame, path: str, mode: str = "error") -> str:
 
 
 def load_splits(
-    spark: SparkSession, schema: DatasetSchema, splits: Sequence[str], allow_missing: bool = False
+    spark: SparkSession, data: ProcessedData, splits: Sequence[str], allow_missing: bool = False
 ) -> DataFrame:
     """The named splits with their name as a column, after filters and time parsing.
 
     Reads one dataset partitioned by split, or separate `{dataset}_{split}.parquet` tables
     (united by column name) when there is no partitioned one.
     """
-    present = _present_splits(spark, schema)
+    present = _present_splits(spark, data)
     missing = [s for s in splits if s not in present]
     wanted = [s for s in splits if s in present]
     if missing and not allow_missing:
-        raise FileNotFoundError(f"splits {missing} not found under {schema.data_path}")
+        raise FileNotFoundError(f"splits {missing} not found under {data.path}")
     if not wanted:
-        raise FileNotFoundError(f"none of the splits {list(splits)} is under {schema.data_path}")
+        raise FileNotFoundError(f"none of the splits {list(splits)} is under {data.path}")
     if present[wanted[0]] is None:
-        df = spark.read.parquet(schema.data_path).where(q(schema.split_column).isin(wanted))
+        df = spark.read.parquet(data.path).where(q(data.split).isin(wanted))
     else:
-        df = union_splits([add_split(spark.read.parquet(present[s]), s, schema.split_column) for s in wanted])
-    df = apply_filters(df, schema.filters)
-    column = schema.time_column
+        df = union_splits([add_split(spark.read.parquet(present[s]), s, data.split) for s in wanted])
+    df = apply_filters(df, data.row_filters)
+    column = data.time
     if column and column in df.columns and not df.schema[column].dataType.typeName().startswith("timestamp"):
         df = df.withColumn(column, epoch_to_timestamp(q(column).try_cast("double")))
     return df
 
 
-def _present_splits(spark: SparkSession, schema: DatasetSchema) -> dict[str, str | None]:
+def _present_splits(spark: SparkSession, data: ProcessedData) -> dict[str, str | None]:
     """Split name to table path, or to None when it is a partition of one dataset."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(schema.data_path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(data.path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return {}
     found: dict[str, str | None] = {}
     for status in fs.listStatus(root):
         name = status.getPath().getName()
-        if name.startswith(f"{schema.split_column}="):
+        if name.startswith(f"{data.split}="):
             found[name.split("=", 1)[1]] = None
-        elif name.startswith(f"{schema.dataset}_") and name.endswith(".parquet"):
-            found[name[len(schema.dataset) + 1 : -len(".parquet")]] = f"{schema.data_path}/{name}"
+        elif name.startswith(f"{data.dataset}_") and name.endswith(".parquet"):
+            found[name[len(data.dataset) + 1 : -len(".parquet")]] = f"{data.path}/{name}"
     return found
 
 

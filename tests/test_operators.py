@@ -175,10 +175,9 @@ def test_kfold_shares(spark):
     assert max(ones.values()) - min(ones.values()) <= 1
 
 
-@pytest.mark.parametrize("greedy", [1000, 5])
-def test_group_kfold_keeps_groups_whole(spark, greedy):
+def test_group_kfold_keeps_groups_whole(spark):
     df = spark.range(400).select("id", F.when(F.col("id") < 130, "big").when(F.col("id") % 50 > 0, F.concat(F.lit("g"), F.col("id") % 50)).alias("g"), (F.col("id") % 3 == 0).cast("int").alias("y"))
-    out = sampling.stratified_group_kfold(df, 4, "y", "g", 1, greedy_groups=greedy).collect()
+    out = sampling.stratified_group_kfold(df, 4, "y", "g", 1).collect()
     assert len(out) == 400
     folds = defaultdict(set)
     for r in out:
@@ -262,10 +261,10 @@ def test_histogram_edges(spark):
 
 
 def test_load_splits_guards(spark):
-    described = schema.resolve_schema({"data_path": scratch_path(spark, "absent")})
+    described = schema.processed_data(scratch_path(spark, "absent"))
     with pytest.raises(FileNotFoundError):
         files.load_splits(spark, described, ["train"], allow_missing=True)
-    assert described.label_column == "label" and "Te" in described.features_to_drop
+    assert described.label == "label" and "Te" in described.not_features
 
 
 def test_csv_without_label_is_refused(spark):
@@ -331,11 +330,20 @@ def test_models_learn_and_guard(spark, clients):
     assert models.reconstruction_error(detector, table).agg(F.max("error")).first()[0] == pytest.approx(0, abs=1e-9)
 
 
-def test_fit_ignores_test_rows(spark, train):
-    extra = train.unionByName(spark.createDataFrame([flow("beacon", "c2", 7)], FLOW).limit(0))
-    a = behavior.fit_features(train).pair_stats.collect()
-    b = behavior.fit_features(extra).pair_stats.collect()
-    assert sorted(map(str, a)) == sorted(map(str, b))
+def test_fit_ignores_test_rows(spark):
+    """Statistics joined to train rows stay the same when only test rows change."""
+    raw = [(i, f"s{i % 3}", f"d{i % 2}", i) for i in range(60)]
+    df = spark.createDataFrame(raw, "id long, src_ip string, dst_ip string, n long")
+    df = df.withColumn("timestamp", F.timestamp_seconds(F.col("n") * (F.col("n") % 7 + 1)).cast("timestamp_ntz"))
+    split = sampling.stratified_split(df.withColumn("y", F.col("id") % 2), "y", ["id"], 1)
+    moved = F.when(F.col("split") == "train", F.col("timestamp")).otherwise(F.expr("timestamp + INTERVAL 9 HOURS"))
+    found = []
+    for table in (split, split.withColumn("timestamp", moved)):
+        fitted = behavior.fit_periodicity(table.where("split = 'train'"), ["src_ip", "dst_ip"], "timestamp")
+        found.append(sorted(map(str, fitted.collect())))
+        whole = behavior.fit_periodicity(table, ["src_ip", "dst_ip"], "timestamp")
+        assert sorted(map(str, whole.collect())) != found[-1]
+    assert found[0] == found[1]
 
 
 def test_ctu_output_columns(spark):
@@ -347,3 +355,25 @@ def test_ctu_output_columns(spark):
     assert out.count() == 40 and out.columns[-1] == "split"
     r = out.where("label = 1").first()
     assert (r["scenario"], r["Sport"], r["is_common_src_port"], r["proto_tcp"]) == ("V42", 80, 1, 1)
+
+
+def test_rows_without_a_time_come_last(spark):
+    rows = [(i, None if i % 5 == 0 else i) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, s long").select("id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"))
+    assert sampling.first_n_by_time(df, 20, "ts", ["id"]).count() == 20
+    first = {r.id for r in sampling.first_n_by_time(df, 16, "ts", ["id"]).collect()}
+    assert first == {i for i in range(20) if i % 5}
+    placed = sampling.time_series_split(df, 4, "ts", ["id"]).collect()
+    last = {r.id for r in placed if r.fold == 3 and r.role == "test"}
+    assert last == {0, 5, 10, 15}
+
+
+@pytest.mark.parametrize("hot_rows", [1000, 3])
+def test_gaps_with_missing_keys_and_ties(spark, hot_rows):
+    rows = [(1, "a", "b", 0), (2, "a", "b", 5), (3, "a", "b", 5), (4, "a", "b", 9), (5, None, "b", 1), (6, None, "b", 2), (7, "a", None, 3), (8, "a", "b", None)]
+    df = spark.createDataFrame(rows, "id long, src string, dst string, s long").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    got = {r.id: r.iat for r in behavior.inter_arrival(df, ["src", "dst"], "ts", hot_rows=hot_rows).collect()}
+    assert [got[i] for i in (1, 4, 5, 6, 7, 8)] == [None, 4.0, None, None, None, None]
+    assert sorted([got[2], got[3]]) == [0.0, 5.0]
+    plain = {r.id: r.iat for r in behavior.inter_arrival(df, ["src", "dst"], "ts").collect()}
+    assert plain == got

@@ -47,7 +47,7 @@ def test_columns_are_pruned_and_filters_pushed(spark):
 def test_reading_a_split_prunes_the_others(spark):
     df = spark.range(30).withColumn("split", F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("id") % 3 + 1).cast("int")))
     path = files.write_splits(df, scratch_path(spark, "pruned"))
-    out = files.load_splits(spark, schema.resolve_schema({"data_path": path}), ["val"])
+    out = files.load_splits(spark, schema.processed_data(path), ["val"])
     assert out.count() == 10
     assert "PartitionFilters: [isnotnull(split" in plan(out) or "PartitionFilters: [split" in plan(out)
 
@@ -56,4 +56,4 @@ def test_reading_a_split_prunes_the_others(spark):
 def test_no_python_in_the_data_path(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))
     assert "Python" not in text and "Pandas" not in text
-    assert "*(1)" in text or "AdaptiveSparkPlan" in text
+    assert text.count("Exchange") <= {"b3_parse_port": 0, "b14_temporal_features": 0}.get(name, 12)
