@@ -54,14 +54,14 @@ def inter_arrival(
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | q(key).isNull()
-    names = [q(c) for c in df.columns]
+    names, content = [q(c) for c in df.columns], scale.row_key(df, None, 0)
     keyless = df.where(no_key).select(*names, F.lit(None).cast("double").alias(out))
     rows = with_keys(df, keys).withColumn("_us", micros(q(ts)))
     hot = scale.hot_groups(rows, keys, hot_rows)
 
     def plain(part: DataFrame) -> DataFrame:
         w = Window.partitionBy(*[q(k) for k in keys]).orderBy("_us", "_key")
-        keyed = part.withColumn("_key", scale.row_key(part, None, 0))
+        keyed = part.withColumn("_key", content)
         return keyed.withColumn(out, (F.col("_us") - F.lag("_us").over(w)) / 1e6).drop("_key")
 
     if hot is None:
@@ -75,7 +75,7 @@ def inter_arrival(
     # Rows that share a timestamp follow each other at 0 s; one of them, the first in content
     # order, takes the step from the timestamp before. Exact copies are counted, not sorted.
     counted = (
-        timed.withColumn("_key", scale.row_key(timed, None, 0))
+        timed.withColumn("_key", content)
         .groupBy(*[q(c) for c in timed.columns], "_key")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
