@@ -1,6 +1,6 @@
 """Training and scoring queries, and the whole preprocessing jobs.
 
-Model outputs have no SQL counterpart; tests check their properties instead.
+The learners run at full size on a label that one feature decides, so that their outputs are known.
 """
 
 from __future__ import annotations
@@ -8,21 +8,29 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowtide.catalog.behavior import BLOCK, BLOCK_JOINS, IAT, PERIODICITY, SRC_FAMILIES
-from flowtide.catalog.registry import CTU, FLOWS, SEED, ctu_text, final, flows, key_sql, query, rnd, split_sql, table
+from flowtide.catalog.registry import CTU, FLOWS, MARKED, SEED, ctu_text, final, flows, key_sql, query, rnd, split_sql, table
 from flowtide.catalog.rows import marked
 from flowtide.functions.columns import q
 from flowtide.operators import averaging, evaluate, models, rows, sampling
 from flowtide.plans import datasets
+from flowtide.session import materialize
 
 FEATURES = ["duration", "bytes_total", "dst_port", "packets_fwd", "packets_bwd"]
 ID = ["event_id"]
 
 
+# A rule that one feature decides: every learner with enough capacity must find it.
+RULED = f"""{MARKED}, ruled AS (SELECT event_id, CAST(packets_bwd >= 3 AS BIGINT) AS label FROM marked)"""
+RULED_SPLIT = f"WITH {RULED}, {split_sql('ruled', 'label', key_sql('event_id'))}"
+_PERFECT = "1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, 1.0::DOUBLE AS roc_auc"
+_TEST_METRICS = f"""{RULED_SPLIT} SELECT {_PERFECT}, count(*) AS support_total, CAST(sum(label) AS BIGINT) AS support_positive,
+    CAST(sum(1 - label) AS BIGINT) AS support_negative FROM parted WHERE split = 'test'"""
+_METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc", "support_total", "support_positive", "support_negative"]
+
+
 def split_table(spark, sf):
-    """Split flows with scaled features; the label follows the destination port."""
-    df = rows.fill_missing(marked(spark, sf), "fill_zero").withColumn(
-        "label", F.coalesce(q("is_malicious") == 1, F.lit(False)).cast("int")
-    )
+    """Split flows with scaled features; label 1 means at least three packets back."""
+    df = rows.fill_missing(marked(spark, sf), "fill_zero").withColumn("label", (q("packets_bwd") >= 3).cast("int"))
     df = df.select("event_id", "src_ip", "label", *FEATURES)
     df = sampling.stratified_split(df, "label", ID, SEED)
     scaler = rows.fit_scaler(df.where(q("split") == "train"), FEATURES)
@@ -30,7 +38,7 @@ def split_table(spark, sf):
 
 
 def assembled(spark, sf):
-    return rows.assemble(split_table(spark, sf), FEATURES)
+    return materialize(rows.assemble(split_table(spark, sf), FEATURES), "model-rows")
 
 
 def _train(df):
@@ -41,42 +49,61 @@ def _test(df):
     return df.where(q("split") == "test")
 
 
-@query("j1_random_forest")
+@query("j1_random_forest", _TEST_METRICS)
 def _(spark, sf):
     df = assembled(spark, sf)
-    model = models.random_forest(_train(df), trees=20, depth=5)
-    return evaluate.all_metrics(models.predict(model, _test(df)))
+    model = models.random_forest(_train(df))
+    return final(evaluate.all_metrics(models.predict(model, _test(df))).select(*_METRICS))
 
 
-@query("j2_boosted_trees")
+@query("j2_boosted_trees", _TEST_METRICS)
 def _(spark, sf):
+    """Up to 100 rounds, stopped early on the validation rows."""
     df = assembled(spark, sf)
-    model = models.boosted_trees(_train(df), rounds=5, depth=4)
-    return evaluate.all_metrics(models.predict(model, _test(df)))
+    fit = df.where(q("split") != "test").withColumn("held", (q("split") == "val").cast("int"))
+    model = models.boosted_trees(fit, validation="held")
+    return final(evaluate.all_metrics(models.predict(model, _test(df))).select(*_METRICS))
 
 
-@query("j3_mlp")
+@query(
+    "j3_mlp",
+    f"""{RULED_SPLIT} SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, true AS in_range, true AS cut_at_half, true AS cells_add_up, true AS ranks_well
+    FROM parted WHERE split = 'test'""",
+)
 def _(spark, sf):
+    """What the rule determines of a network's output: sizes, the 0.5 cut, the confusion cells' sums, a good ranking."""
     df = assembled(spark, sf)
-    balanced = models.balance_by_sampling(_train(df).select("event_id", "label", "features"), "label", ID, SEED)
-    model = models.mlp(balanced, len(FEATURES), hidden=(16, 8), iterations=20)
-    return evaluate.all_metrics(models.predict(model, _test(df)))
+    balanced = models.balance_by_repeating(_train(df).select("event_id", "label", "features"), "label", ID, SEED)
+    scored = materialize(models.predict(models.mlp(balanced, len(FEATURES)), _test(df)), "network-scores")
+    auc = evaluate.all_metrics(scored).select("roc_auc").scalar()
+    right = F.count_if((q("prediction") == 1) & (q("label") == 1)) + F.count_if((q("prediction") == 0) & (q("label") == 1))
+    return scored.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("label").alias("positives"),
+        F.every((q("score") >= 0) & (q("score") <= 1)).alias("in_range"),
+        F.every((q("prediction") == 1) == (q("score") > 0.5)).alias("cut_at_half"),
+        (right == F.sum("label")).alias("cells_add_up"),
+    ).withColumn("ranks_well", auc > 0.95)
 
 
-def embeddings(spark, sf):
-    """Embedding vectors as numeric columns; label 0 counts as anomalous."""
-    e = table(spark, sf, "embeddings")
-    size = 64
-    return e.select("vec_id", (q("label") == 0).cast("int").alias("label"), *[q("embedding")[i].cast("double").alias(f"e{i}") for i in range(size)])
+_LINE = """d AS (SELECT event_id, CAST(event_id % 50 = 0 AS INT) AS label, value AS x, 2 * value AS y, 3 * value + CASE WHEN event_id % 50 = 0 THEN 10 + event_id % 7 ELSE 0 END AS z FROM events)"""
 
 
-@query("j4_reconstruction_detector")
+@query(
+    "j4_reconstruction_detector",
+    f"""WITH {_LINE}, s AS (SELECT stddev_samp(z) AS sd FROM d WHERE label = 0 AND event_id % 5 > 0)
+    SELECT event_id, CAST(label AS BIGINT) AS label, CASE WHEN label = 1 THEN round(2.0 / 9 * pow((10 + event_id % 7) / sd, 2), 6) ELSE 0.0 END AS error
+    FROM d, s WHERE event_id % 5 = 0""",
+)
 def _(spark, sf):
-    df = rows.assemble(embeddings(spark, sf), [f"e{i}" for i in range(64)])
-    model = models.reconstruction_detector(df, 16)
-    scored = models.reconstruction_error(model, df)
-    limit = evaluate.reconstruction_threshold(scored.where(q("label") == 0), "error", 0.05).first()[0]
-    return evaluate.anomaly_scores(scored, "error", limit).select("vec_id", "label", "error", "prediction", "score")
+    """Normal rows lie on the line (x, 2x, 3x); the error of a row off it is two ninths of its squared scaled offset."""
+    off = F.when(F.col("event_id") % 50 == 0, 10 + F.col("event_id") % 7).otherwise(0)
+    df = table(spark, sf, "events").select(
+        "event_id", (F.col("event_id") % 50 == 0).cast("int").alias("label"), F.col("value").alias("x"), (2 * F.col("value")).alias("y"), (3 * F.col("value") + off).alias("z")
+    )
+    df = rows.assemble(df, ["x", "y", "z"])
+    detector = models.reconstruction_detector(df.where("event_id % 5 > 0"), 1)
+    return final(models.reconstruction_error(detector, df.where("event_id % 5 = 0")).select("event_id", "label", "error"))
 
 
 # Client rows for weight averaging: two scaled order features, finished orders as positives.
@@ -175,30 +202,39 @@ def _(spark, sf):
     return final(_weight_columns(history))
 
 
-@query("j9_feature_importances")
+@query("j9_feature_importances", "SELECT 'packets_bwd' AS first_feature, 5::BIGINT AS features, 1.0::DOUBLE AS total")
 def _(spark, sf):
-    model = models.random_forest(_train(assembled(spark, sf)), trees=10, depth=5)
-    return models.feature_importances(model, FEATURES)
+    model = models.random_forest(_train(assembled(spark, sf)))
+    found = models.feature_importances(model, FEATURES)
+    return final(found.agg(F.max_by("feature", "importance").alias("first_feature"), F.count(F.lit(1)).alias("features"), F.sum("importance").alias("total")))
 
 
-@query("j10_predict")
+@query("j10_predict", f"{RULED_SPLIT} SELECT event_id, label, label AS prediction, label = 1 AS likelier FROM parted WHERE split = 'test'")
 def _(spark, sf):
     df = assembled(spark, sf)
-    model = models.random_forest(_train(df), trees=10, depth=5)
-    return models.predict(model, _test(df)).select("event_id", "label", "prediction", "score")
+    model = models.random_forest(_train(df))
+    return final(models.predict(model, _test(df)).select("event_id", "label", "prediction", (q("score") > 0.5).alias("likelier")))
+
 
+FOLDS = 5
 
-@query("j11_cross_validate")
+
+@query(
+    "j11_cross_validate",
+    f"""WITH {RULED}, c AS (SELECT label, count(*) AS n, sum(count(*)) OVER (ORDER BY label) - count(*) AS off, sum(count(*)) OVER () AS total FROM ruled GROUP BY 1),
+    f AS (SELECT i, label, total, floor((off + n + {FOLDS - 1} - i) / {FOLDS}) - floor((off + {FOLDS - 1} - i) / {FOLDS}) AS size FROM c, (SELECT unnest(range({FOLDS})) AS i))
+    SELECT CAST(i + 1 AS BIGINT) AS fold, {_PERFECT}, CAST(any_value(total) - sum(size) AS BIGINT) AS train_size, CAST(sum(size) AS BIGINT) AS val_size,
+    CAST(sum(size) FILTER (label = 1) AS BIGINT) AS val_pos_count, CAST(sum(size) FILTER (label = 0) AS BIGINT) AS val_neg_count FROM f GROUP BY i""",
+)
 def _(spark, sf):
     df = assembled(spark, sf).select("event_id", "label", "features")
-    folds = sampling.stratified_kfold(df, 3, "label", ID, SEED)
-    return models.cross_validate(folds, lambda train: models.random_forest(train, trees=5, depth=4), 3)
+    folds = sampling.stratified_kfold(df, FOLDS, "label", ID, SEED)
+    return final(models.cross_validate(folds, models.random_forest, FOLDS))
 
 
-@query("j12_train_centralized")
+@query("j12_train_centralized", _TEST_METRICS)
 def _(spark, sf):
-    df = split_table(spark, sf)
-    return models.train_centralized(df, FEATURES, lambda train: models.random_forest(train, trees=10, depth=5))[1]
+    return final(models.train_centralized(split_table(spark, sf), FEATURES, models.random_forest)[1].select(*_METRICS))
 
 
 _PROTO = ("tcp", "udp", "icmp", "ipx/spx")
@@ -245,16 +281,18 @@ _TOP_PORTS = "(SELECT dst_port FROM flows GROUP BY 1 ORDER BY count(*) DESC, dst
     round(ln(1 + bytes_total), 6) AS bytes_total_log, """
     + ", ".join(f"CAST(protocol = '{v}' AS BIGINT) AS \"proto_{v}\"" for v in ("TCP", "UDP", "ICMP", "ipx/spx"))
     + ", CAST(src_port > 0 AND src_port < 1024 AS BIGINT) AS is_common_src_port, CAST(dst_port > 0 AND dst_port < 1024 AS BIGINT) AS is_common_dst_port, "
-    + f"CAST(dst_port IN {_TOP_PORTS} AS BIGINT) AS top_port_columns, "
+    + f"CASE WHEN dst_port IN {_TOP_PORTS} THEN 'dst_port_' || dst_port ELSE '' END AS port_set, "
+    + f"(SELECT string_agg('dst_port_' || dst_port, ',' ORDER BY 'dst_port_' || dst_port) FROM {_TOP_PORTS} p) AS port_columns, "
     + ", ".join(f"CAST(flags = '{v}' AS BIGINT) AS \"flag_{v}\"" for v in (".A....", ".AP.SF", "....S.", ".APRSF"))
     + f", {BLOCK}, split FROM parted {BLOCK_JOINS}",
 )
 def _(spark, sf):
-    """The 20 port columns carry names that depend on the data; here their sum stands for them."""
+    """The 20 port columns carry names that depend on the data: their names, and those that are 1 in a row, are listed."""
     from flowtide.catalog.behavior import scored
 
     out = datasets.preprocess_ugr(flows(spark, sf), ID, SEED)
     ports = [x for x in out.columns if x.startswith("dst_port_") and x != "dst_port_entropy"]
-    total = sum((q(x) for x in ports[1:]), q(ports[0]))
-    out = out.withColumn("top_port_columns", total).drop(*ports)
+    ports.sort()
+    named = F.concat_ws(",", *[F.when(q(x) == 1, F.lit(x)) for x in ports])
+    out = out.withColumn("port_set", named).withColumn("port_columns", F.lit(",".join(ports))).drop(*ports)
     return scored(out, "periodicity_score", "bytes_consistency_score", "pkts_consistency_score")

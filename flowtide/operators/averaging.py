@@ -1,53 +1,30 @@
 """Training by averaging client weights: local updates, the averaging step and the rounds.
 
-A client's local steps use the gradient over all its rows, which is a sum. Every task adds
-up its own share for every client, so a client that holds a third of the table is worked on
-by all tasks, and only one row of sums per client reaches the driver.
+A client's local steps use the gradient over all its rows: a grouped sum of column
+arithmetic. Client weights are a table with one row per client that is joined to the rows;
+only the averaged weights (one number per feature) reach the driver between rounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.functions.columns import q
+from flowtide.operators.scale import small
+from flowtide.session import materialize
 
 CLIP = 1e-15
 
 
-def _client_sums(df: DataFrame, features: Sequence[str], label: str, client: str, weights: dict[int, np.ndarray]) -> dict:
-    """Per client: rows, log loss sum, correct rows and the gradient sum at the client's weights."""
-    names, width = list(features), len(features) + 1
-    shared = df.sparkSession.sparkContext.broadcast(weights)
-
-    def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for c, part in batch.groupby("client"):
-                x = np.column_stack([part[names].to_numpy(float), np.ones(len(part))])
-                y = part["label"].to_numpy(float)
-                p = 1.0 / (1.0 + np.exp(-np.clip(x @ shared.value[c], -500, 500)))
-                safe = np.clip(p, CLIP, 1 - CLIP)
-                loss = -(y * np.log(safe) + (1 - y) * np.log(1 - safe)).sum()
-                found = np.concatenate([[len(y), loss, ((p >= 0.5) == (y == 1)).sum()], x.T @ (p - y)])
-                sums[c] = sums.get(c, 0) + found
-        if sums:
-            yield pd.DataFrame({"client": list(sums), "sums": [s.tolist() for s in sums.values()]})
-
-    slim = df.select(q(client).cast("int").alias("client"), q(label).cast("double").alias("label"), *[q(f) for f in names])
-    shares = slim.mapInPandas(share, "client int, sums array<double>")
-    found = shares.groupBy("client").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width + 3)]).collect()
-    shared.unpersist()
-    return {r["client"]: np.array(r[1:], dtype=float) for r in found}
-
-
-def client_ids(df: DataFrame, client: str = "client_id") -> list[int]:
-    """Client numbers; there are as many as the partitioning was asked for."""
-    return [r[0] for r in df.select(q(client).cast("int")).distinct().orderBy(q(client).cast("int")).collect()]
+def _probability(features: Sequence[str], weight: Sequence[Column]) -> Column:
+    """Logistic model as column arithmetic; the last weight is the constant."""
+    margin = weight[len(features)]
+    for f, w in zip(features, weight):
+        margin = margin + q(f) * w
+    return 1.0 / (1.0 + F.exp(-F.greatest(F.least(margin, F.lit(500.0)), F.lit(-500.0))))
 
 
 def local_update(
@@ -59,26 +36,36 @@ def local_update(
     epochs: int = 1,
     rate: float = 0.5,
     mu: float = 0.0,
-    clients: Sequence[int] | None = None,
 ) -> DataFrame:
     """Every client takes `epochs` gradient steps from the shared weights of a logistic model.
 
     With `mu` the step is pulled back by mu * (w - w_shared), the proximal term.
     One row per client: client_id, n, weights, train_accuracy, train_loss.
     """
-    shared = np.asarray(weights, dtype=float)
-    chosen = list(clients) if clients is not None else client_ids(df, client)
-    rows = df.where(q(client).isin(chosen))
-    local = {c: shared.copy() for c in chosen}
+    shared = [F.lit(float(w)) for w in weights]
+    names = [f"_w{i}" for i in range(len(weights))]
+    rows = df.select(q(client).cast("int").alias("client_id"), q(label).cast("double").alias("_y"), *[q(f) for f in features])
+    state: DataFrame | None = None
+
+    def with_state() -> tuple[DataFrame, list[Column]]:
+        if state is None:
+            return rows, shared
+        return rows.join(small(state), "client_id"), [F.col(n) for n in names]
+
     for _ in range(epochs):
-        for c, s in _client_sums(rows, features, label, client, local).items():
-            local[c] = local[c] - rate * (s[3:] / s[0] + mu * (local[c] - shared))
-    final = _client_sums(rows, features, label, client, local)
-    out = [
-        (c, int(s[0]), [float(w) for w in local[c]], float(s[2] / s[0]), float(s[1] / s[0])) for c, s in sorted(final.items())
-    ]
-    return df.sparkSession.createDataFrame(
-        out, "client_id int, n bigint, weights array<double>, train_accuracy double, train_loss double"
+        table, own = with_state()
+        off = _probability(features, own) - F.col("_y")
+        slopes = [F.avg(off * x) for x in [*[q(f) for f in features], F.lit(1.0)]]
+        moved = [F.first(w) - rate * (g + mu * (F.first(w) - s)) for w, g, s in zip(own, slopes, shared)]
+        state = materialize(table.groupBy("client_id").agg(*[m.alias(n) for m, n in zip(moved, names)]), "client-weights")
+    table, own = with_state()
+    p, y = _probability(features, own), F.col("_y")
+    safe = F.greatest(F.least(p, F.lit(1 - CLIP)), F.lit(CLIP))
+    return table.groupBy("client_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.first(w) for w in own]).alias("weights"),
+        F.avg(((p >= 0.5) == (y == 1)).cast("double")).alias("train_accuracy"),
+        F.avg(-(y * F.log(safe) + (1 - y) * F.log(1 - safe))).alias("train_loss"),
     )
 
 
@@ -88,13 +75,15 @@ def average_weights(updates: DataFrame, n: str = "n", weights: str = "weights")
     return entries.groupBy("index").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("weight"))
 
 
-def choose_clients(ids: Sequence[int], fraction: float, minimum: int, seed: int, round_no: int) -> list[int]:
-    """Seeded choice of max(minimum, fraction * clients) clients for a round."""
-    if len(ids) < minimum:
-        raise ValueError(f"{len(ids)} clients available, {minimum} needed")
-    size = min(len(ids), max(minimum, int(fraction * len(ids))))
-    rng = np.random.default_rng([seed, round_no])
-    return sorted(int(c) for c in rng.choice(list(ids), size, replace=False))
+def choose_clients(clients: DataFrame, fraction: float, minimum: int, seed: int, round_no: int) -> DataFrame:
+    """Seeded choice of max(minimum, fraction * clients) rows of a client table for a round."""
+    there = clients.count()
+    if there < minimum:
+        raise ValueError(f"{there} clients available, {minimum} needed")
+    size = min(there, max(minimum, int(fraction * there)))
+    if size == there:
+        return clients
+    return clients.orderBy(F.xxhash64("client_id", F.lit(seed), F.lit(round_no)), "client_id").limit(size)
 
 
 def fedavg(
@@ -111,23 +100,24 @@ def fedavg(
     seed: int = 42,
 ) -> tuple[list[float], DataFrame]:
     """Rounds of local updates and averaging; returns the weights and one history row per round."""
-    ids = client_ids(df, client)
+    clients = materialize(df.select(q(client).cast("int").alias("client_id")).distinct(), "clients")
+    slim = df.select(q(client).cast("int").alias("client_id"), q(label), *[q(f) for f in features])
+    slim = materialize(slim, "client-rows")
     weights = [0.0] * (len(features) + 1)
     history = []
-    df = df.persist()
-    try:
-        for r in range(rounds):
-            chosen = choose_clients(ids, fraction, min_clients, seed, r)
-            updates = local_update(df, weights, features, label, client, epochs, rate, mu, chosen)
-            mean = updates.agg(
-                F.sum("n").alias("n"),
-                (F.sum(F.col("n") * F.col("train_accuracy")) / F.sum("n")).alias("a"),
-                (F.sum(F.col("n") * F.col("train_loss")) / F.sum("n")).alias("l"),
-            ).first()
-            weights = [row["weight"] for row in average_weights(updates).orderBy("index").collect()]
-            history.append((r + 1, len(chosen), mean["n"], mean["a"], mean["l"], weights))
-    finally:
-        df.unpersist()
+    for r in range(rounds):
+        chosen = small(choose_clients(clients, fraction, min_clients, seed, r))
+        updates = local_update(slim.join(chosen, "client_id", "left_semi"), weights, features, label, "client_id", epochs, rate, mu)
+        entry = [F.sum(F.col("n") * F.get("weights", F.lit(i))) / F.sum("n") for i in range(len(weights))]
+        mean = updates.agg(
+            F.count(F.lit(1)).alias("clients"),
+            F.sum("n").alias("n"),
+            (F.sum(F.col("n") * F.col("train_accuracy")) / F.sum("n")).alias("a"),
+            (F.sum(F.col("n") * F.col("train_loss")) / F.sum("n")).alias("l"),
+            F.array(*entry).alias("w"),
+        ).first()
+        weights = list(mean["w"])
+        history.append((r + 1, mean["clients"], mean["n"], mean["a"], mean["l"], weights))
     schema = "round int, clients int, n bigint, train_accuracy double, train_loss double, weights array<double>"
     return weights, df.sparkSession.createDataFrame(history, schema)
 
@@ -139,8 +129,5 @@ def fedprox(df: DataFrame, features: Sequence[str], mu: float = 0.1, **options)
 
 def score_with(df: DataFrame, weights: Sequence[float], features: Sequence[str], score: str = "score") -> DataFrame:
     """Probability and 0.5-cut prediction of the averaged logistic model, as column arithmetic."""
-    margin = F.lit(float(weights[-1]))
-    for f, w in zip(features, weights):
-        margin = margin + q(f) * F.lit(float(w))
-    p = 1 / (1 + F.exp(-margin))
+    p = _probability(features, [F.lit(float(w)) for w in weights])
     return df.withColumn(score, p).withColumn("prediction", (p >= 0.5).cast("int"))

@@ -4,23 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Model
+from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import (
     GBTClassifier,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.functions.columns import q
-from flowtide.operators import evaluate, explore, rows, sampling
+from flowtide.operators import evaluate, explore, rows, scale
 
 
-def random_forest(train: DataFrame, label: str = "label", trees: int = 100, depth: int = 10, seed: int = 42) -> Model:
-    """Forest with balanced class weights on a `features` vector."""
+def random_forest(train: DataFrame, label: str = "label", trees: int = 100, depth: int = 30, seed: int = 42) -> Model:
+    """Forest with balanced class weights on a `features` vector; depth 30 is the largest there is."""
     weighted = explore.class_weights(train, label, "balanced")
     return RandomForestClassifier(
         labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed
@@ -57,11 +57,22 @@ def boosted_trees(
     return booster.fit(weighted)
 
 
-def balance_by_sampling(train: DataFrame, label: str, id_cols: Sequence[str] | None, seed: int) -> DataFrame:
-    """Cuts the larger class down to the smaller one's size, for learners without row weights."""
+def balance_by_repeating(train: DataFrame, label: str, id_cols: Sequence[str] | None, seed: int) -> DataFrame:
+    """Repeats the smaller class up to the larger one's size, for learners without row weights; no row is cut.
+
+    Every row of the smaller class comes floor(larger / smaller) times; a hash of the row gives
+    the remaining share one time more, so the sizes meet up to chance.
+    """
     stats = explore.class_stats(train, label).first()
-    size = min(stats["neg"], stats["pos"])
-    return sampling.stratified_sample(train, 2 * size, 0.5, q(label) == 1, id_cols, seed)
+    small, large = sorted((stats["neg"], stats["pos"]))
+    if not small or small == large:
+        return train
+    whole, left = divmod(large, small)
+    share = F.conv(F.substring(scale.row_key(train, id_cols, seed), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    times = F.lit(whole) + (share < left / small).cast("int")
+    fewer = 1 if stats["pos"] == small else 0
+    repeated = train.where(q(label) == fewer).withColumn("_times", times.cast("bigint"))
+    return train.where(q(label) != fewer).unionByName(scale.repeat_rows(repeated, "_times"))
 
 
 def mlp(
@@ -100,13 +111,14 @@ def feature_importances(model: Model, names: Sequence[str]) -> DataFrame:
 
 
 def reconstruction_detector(train: DataFrame, encoding_dim: int = 32, label: str = "label") -> Model:
-    """Linear autoencoder: principal components of the normal rows' scaled `features`."""
+    """Linear autoencoder: `features` centred and scaled as on the normal rows, then those rows' principal components."""
     normal = train.where(q(label) == 0)
-    return PCA(k=encoding_dim, inputCol="features", outputCol="encoded").fit(normal)
+    scaled = StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="_scaled")
+    return Pipeline(stages=[scaled, PCA(k=encoding_dim, inputCol="_scaled", outputCol="encoded")]).fit(normal)
 
 
 def reconstruction_error(model: Model | None, df: DataFrame, out: str = "error") -> DataFrame:
-    """Mean squared difference between a row and its projection on the components.
+    """Mean squared difference between a scaled row and its projection on the components.
 
     The components are orthonormal, so the squared error is |x|^2 - |encoded|^2.
     """
@@ -116,7 +128,7 @@ def reconstruction_error(model: Model | None, df: DataFrame, out: str = "error")
     def square_sum(vector: str):
         return F.aggregate(vector_to_array(vector), F.lit(0.0), lambda a, x: a + x * x)
 
-    left = (square_sum("features") - square_sum("encoded")) / F.size(vector_to_array("features"))
+    left = (square_sum("_scaled") - square_sum("encoded")) / F.size(vector_to_array("_scaled"))
     coded = model.transform(df).withColumn(out, F.greatest(left, F.lit(0.0)))
     return coded.select(*[q(c) for c in df.columns], out)
 
