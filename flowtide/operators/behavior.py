@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowtide.functions.columns import micros, q, regularity_score, variation
@@ -246,15 +246,22 @@ def fit_features(
     width_seconds: int = 3600,
     hot_rows: int = scale.HOT_GROUP_ROWS,
     path: str | None = None,
+    written: bool = False,
 ) -> FittedBehavior:
     """Learns all enabled families from the training rows and writes them out.
 
     The source families share one table, so applying them costs one join. With `path`
     the tables are Parquet under it; otherwise they go to the shared scratch folder.
+    The few columns needed are written once and read by all families, unless `train` is
+    a `written` table already.
     """
     keys = resolve_group_columns(train) if group_columns is None else list(group_columns)
     if not keys:
         return FittedBehavior([])
+    if not written:
+        found = [resolve_column(train, names) for names in (PORT_COLUMNS, PROTOCOL_COLUMNS, BYTES_COLUMNS, PACKET_COLUMNS)]
+        wanted = dict.fromkeys([*keys, *[c for c in (ts, *found) if c in train.columns]])
+        train = materialize(train.select(*[q(c) for c in wanted]), "train-slice")
     src, timed, total = keys[0], ts in train.columns, train.count()
     fitted = FittedBehavior(keys)
     if periodicity and timed:
@@ -286,6 +293,24 @@ def fit_features(
     return fitted
 
 
+def load_features(spark: SparkSession, path: str, group_columns: Sequence[str]) -> FittedBehavior:
+    """What an earlier `fit_features(path=...)` wrote; hot keys are then left to the joins' own skew handling."""
+    keys = list(group_columns)
+    fitted = FittedBehavior(keys)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = {s.getPath().getName() for s in fs.listStatus(root)} if fs.exists(root) else set()
+    if "pair_stats" in there:
+        fitted.pair_stats = spark.read.parquet(f"{path}/pair_stats")
+        fitted.families.append("periodicity")
+    if "src_stats" in there:
+        fitted.src_stats = spark.read.parquet(f"{path}/src_stats")
+        signs = {"flow_counts": "flow_count_mean", "port_entropy": "dst_port_entropy", "protocol_entropy": "protocol_entropy"}
+        fitted.families += [f for f, c in signs.items() if c in fitted.src_stats.columns]
+        fitted.families += [f for f in ("bytes", "pkts") if any(c.startswith(f"{f}_") for c in fitted.src_stats.columns)]
+    return fitted
+
+
 def _written(df: DataFrame, path: str | None, name: str) -> DataFrame:
     return materialize(df, name, f"{path}/{name}" if path else None)
 

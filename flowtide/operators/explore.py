@@ -265,19 +265,14 @@ def hourly_by_flag(df: DataFrame, ts: str, flag: str, width_seconds: int = 3600)
 
 def describe(df: DataFrame, columns: Sequence[str], percentiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """One row per column: count, mean, std (n-1), min, exact percentiles as p<percent>, max."""
-    pairs = [
-        F.struct(F.lit(c).alias("column"), no_nan(q(c).cast("double")).alias("value")) for c in columns
-    ]
-    long = df.select(F.explode(F.array(*pairs)).alias("z")).select("z.*")
-    stats = long.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    def summary(c: str) -> Column:
+        value = no_nan(q(c).cast("double"))
+        parts = {"count": F.count(value), "mean": F.avg(value), "std": F.stddev_samp(value), "min": F.min(value), "max": F.max(value)}
+        return F.struct(F.lit(c).alias("column"), *[v.alias(n) for n, v in parts.items()])
+
+    stats = df.agg(F.array(*[summary(c) for c in columns]).alias("z")).select(F.explode("z").alias("z")).select("z.*")
     probs = sorted({*percentiles, 0.5})
-    found = scale.exact_quantiles(long, ["column"], "value", probs)
+    found = scale.column_quantiles(df, columns, probs)
     wide = found.groupBy("column").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(f"p{p * 100:g}") for p in probs]
     )

@@ -49,8 +49,7 @@ def fill_missing(df: DataFrame, strategy: str = "drop") -> DataFrame:
         raise ValueError("strategy must be 'drop', 'fill_zero' or 'fill_median'")
     if not numbers:
         return df
-    long = df.select(F.explode(F.array(*[_name_value(df, c) for c in numbers])).alias("_z")).select("_z.*")
-    medians = {r["name"]: r["quantile"] for r in scale.exact_quantiles(long, ["name"], "value", [0.5]).collect()}
+    medians = {r["column"]: r["quantile"] for r in scale.column_quantiles(df, numbers, [0.5]).collect()}
     new = {}
     for c in numbers:
         if medians.get(c) is not None:
@@ -64,11 +63,6 @@ def _present(df: DataFrame, column: str) -> Column:
     return no_nan(q(column)) if floating else q(column)
 
 
-def _name_value(df: DataFrame, column: str) -> Column:
-    value = q(column).cast("double")
-    return F.struct(F.lit(column).alias("name"), no_nan(value).alias("value"))
-
-
 def apply_filters(df: DataFrame, rules: Mapping[str, Mapping[str, Any]]) -> DataFrame:
     """Per column include / exclude / min / max, all ANDed. An exclude rule keeps NULLs."""
     for column, rule in rules.items():

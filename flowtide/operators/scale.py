@@ -162,6 +162,26 @@ def exact_quantiles(
     return cold.unionByName(_bucket_quantiles(rows.join(hot_keys, keys, "left_semi"), keys, probs, pieces))
 
 
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """Exact quantiles of several columns, NULL and NaN left out: (column, prob, quantile).
+
+    A table one task can hold is summarised in one pass; of a larger one every column is
+    read and cut into value buckets on its own.
+    """
+    values = df.select(*[F.when(~F.isnan(q(c).cast("double")), q(c).cast("double")).alias(c) for c in columns])
+    if is_larger_than(df, hot_rows):
+        found = None
+        for c in columns:
+            one = exact_quantiles(values, [], c, probs, hot_rows=hot_rows).select(F.lit(c).alias("column"), "prob", "quantile")
+            found = one if found is None else found.unionByName(one)
+        return found
+    prob_list = F.array(*[F.lit(float(p)) for p in probs])
+    one = values.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.percentile(q(c), prob_list).alias("all")) for c in columns]).alias("z"))
+    each = one.select(F.explode("z").alias("z")).where(F.col("z.all").isNotNull())
+    pairs = F.explode(F.arrays_zip(prob_list.alias("prob"), F.col("z.all").alias("quantile")))
+    return each.select("z.column", pairs.alias("p")).select("column", "p.prob", "p.quantile")
+
+
 def _bucket_quantiles(rows: DataFrame, keys: list[str], probs: Sequence[float], pieces: int | None) -> DataFrame:
     group = [q(k) for k in keys]
     bucketed = with_bucket(rows, "_v", value_splits(rows, "_v", pieces))

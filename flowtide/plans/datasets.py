@@ -152,7 +152,7 @@ def split_fit_apply(
         complete = complete.where(feature.isNotNull())
     split = sampling.stratified_split(complete, label, id_cols, seed, test_size, val_size)
     train = split.where(F.col("split") == "train").select(*[q(x) for x in behavior.fitting_columns(split, ts)])
-    fitted = behavior.fit_features(materialize(train, "train"), ts, hot_rows=hot_rows)
+    fitted = behavior.fit_features(materialize(train, "train"), ts, hot_rows=hot_rows, written=True)
     done = behavior.transform_features(split, fitted)
     base = [q(x) for x in typed.columns if x != "total_packets"]
     block = [q(x) for x in done.columns if x not in split.columns]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowtide.functions import columns as c
 from flowtide.functions.columns import q
-from flowtide.operators import averaging, behavior, evaluate, explore, models, rows, sampling
+from flowtide.operators import averaging, behavior, evaluate, explore, models, rows, sampling, scale
 from flowtide.plans import datasets
 from flowtide.session import scratch_path
 from flowtide.sources import files, schema
@@ -377,3 +377,31 @@ def test_gaps_with_missing_keys_and_ties(spark, hot_rows):
     assert sorted([got[2], got[3]]) == [0.0, 5.0]
     plain = {r.id: r.iat for r in behavior.inter_arrival(df, ["src", "dst"], "ts").collect()}
     assert plain == got
+
+
+@pytest.mark.parametrize("hot_rows", [1_000_000, 5])
+def test_column_quantiles_same_at_any_size(spark, hot_rows):
+    df = spark.range(101).select((F.col("id") * 1.5).alias("a"), F.when(F.col("id") % 3 == 0, float("nan")).otherwise(F.col("id") % 7).alias("b"), F.lit(None).cast("double").alias("c"))
+    got = {(r.column, r.prob): r.quantile for r in scale.column_quantiles(df, ["a", "b", "c"], [0.25, 0.9], hot_rows).collect()}
+    known = [float(i % 7) for i in range(101) if i % 3]
+    assert got == {("a", 0.25): 37.5, ("a", 0.9): 135.0, ("b", 0.25): float(np.quantile(known, 0.25)), ("b", 0.9): float(np.quantile(known, 0.9))}
+
+
+def test_fitted_statistics_can_be_loaded_again(spark, train):
+    path = scratch_path(spark, "fitted")
+    fitted = behavior.fit_features(train, path=path)
+    back = behavior.load_features(spark, path, fitted.group_columns)
+    assert sorted(back.families) == sorted(fitted.families)
+    a, b = (sorted(map(str, behavior.transform_features(train, f).collect())) for f in (fitted, back))
+    assert a == b
+
+
+def test_run_folder_is_empty_afterwards(spark):
+    from flowtide.session import materialize, run_folder
+
+    jvm = spark._jvm
+    with run_folder(spark) as folder:
+        assert materialize(spark.range(5), "numbers").count() == 5
+        root = jvm.org.apache.hadoop.fs.Path(folder)
+        assert root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+    assert not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
