@@ -286,8 +286,34 @@ def _stars(rows: DataFrame, salt: int) -> DataFrame:
     return ordered.select("sig", "node", "label").mapInArrow(run, "a bigint, b bigint")
 
 
+def _within(rows: DataFrame) -> DataFrame:
+    """(a, b) of each signature's nodes in different components, for signatures of few nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, group = None, []
+        ready: set[tuple[int, int]] = set()
+
+        def out():
+            found = list(ready)
+            ready.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for sig, node, label in zip(*[batch.column(c).to_pylist() for c in ("sig", "node", "label")], strict=True):
+                if sig != last:
+                    last, group = sig, []
+                    if len(ready) > 100_000:
+                        yield out()
+                ready.update((other, node) for other, home in group if home != label)  # nodes come in order
+                group.append((node, label))
+        if ready:
+            yield out()
+
+    return _by_signature(rows, "node").select("sig", "node", "label").mapInArrow(run, "a bigint, b bigint")
+
+
 def _across(rows: DataFrame, block: int = 512) -> DataFrame:
-    """(a, b) of each signature's nodes in different components that the bit sketches do not rule out."""
+    """As `_within`, for signatures of many nodes: only pairs that size and bit sketch do not rule out."""
 
     def pairs(node: list[int], label: list[int], size: list[int], bits: list[bytes]):
         least = min(map(len, bits))
@@ -390,15 +416,26 @@ def join_links(docs: DataFrame, rows: DataFrame, doc_id: str = "doc_id", text: s
     cells = candidates(docs, text, hot_nodes)
     nodes = materialize(cells.select("node").distinct(), "candidate-nodes")
     sets = _node_sets(docs, rows, nodes, doc_id, text)
-    labels, links = nodes.select("node", F.col("node").alias("label")), None
+    labels, links, tried = nodes.select("node", F.col("node").alias("label")), None, None
     for turn in range(star_rounds + 1):
         labelled = cells.join(labels, "node")
-        mixed = labelled.groupBy("sig").agg(F.min("label").alias("_min"), F.max("label").alias("_max")).where("_min <> _max").select("sig")
-        cells_left = materialize(labelled.join(mixed, "sig", "left_semi"), "open-signatures")
-        if cells_left.isEmpty():
+        open_sigs = labelled.groupBy("sig").agg(F.min("label").alias("_min"), F.max("label").alias("_max"), F.count("*").alias("_nodes"))
+        # two nodes alone were compared in the first round
+        open_sigs = open_sigs.where(F.col("_min") != F.col("_max")).where(F.lit(turn == 0) | (F.col("_nodes") > 2)).select("sig", "_nodes")
+        left = materialize(labelled.join(open_sigs, "sig"), "open-signatures")
+        if left.isEmpty():
             break
-        pairs = _stars(cells_left, turn) if turn < star_rounds else _across(cells_left.join(sets.select("node", "n", "bits"), "node"))
-        found = materialize(_verified(pairs.distinct(), sets), "links")
+        if turn < star_rounds:
+            pairs = _stars(left, turn)
+        else:
+            many = left.where(F.col("_nodes") > hot_nodes).join(sets.select("node", "n", "bits"), "node")
+            pairs = _within(left.where(F.col("_nodes") <= hot_nodes)).unionByName(_across(many))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = materialize(_verified(pairs, sets), "links")
         if found.isEmpty():
             continue
         links = found if links is None else links.unionByName(found)
