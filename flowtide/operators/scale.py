@@ -22,7 +22,7 @@ from flowtide.session import materialize, pin
 HOT_GROUP_ROWS = 2_000_000
 BROADCAST_ROWS = 200_000
 SALTS = 64
-MIN_PIECES, MAX_PIECES = 1_000, 20_000
+MIN_PIECES = 1_000
 KEY_CELL_ROWS = 100_000
 COPY_BLOCK = 1_000_000
 
@@ -103,7 +103,7 @@ def value_splits(df: DataFrame, value: str, pieces: int | None = None) -> list[f
     They need not be exact: every later step counts what really falls between them.
     """
     if pieces is None:
-        pieces = min(MAX_PIECES, max(MIN_PIECES, df.count() // HOT_GROUP_ROWS))
+        pieces = max(MIN_PIECES, df.count() // HOT_GROUP_ROWS)
     probs = [i / pieces for i in range(1, pieces)]
     found = df.select(q(value).cast("double").alias("v")).approxQuantile("v", probs, 0.5 / pieces)
     inner = sorted({b for b in found if abs(b) != float("inf")}) or [0.0]
@@ -270,9 +270,9 @@ def running_totals(
 
 
 def prefix_digits(rows: int) -> int:
-    """Hex digits of the key that cut `rows` rows into cells one task can sort; at most 16^5 cells."""
+    """Hex digits of the key that cut `rows` rows into cells one task can sort."""
     digits = 1
-    while digits < 5 and rows > KEY_CELL_ROWS * 16**digits:
+    while digits < 32 and rows > KEY_CELL_ROWS * 16**digits:
         digits += 1
     return digits
 
