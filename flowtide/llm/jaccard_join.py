@@ -17,10 +17,11 @@ their symmetric difference is at most (|A| + |B|) / 9.
   stay in. That loses no link.
 * Candidates without all pairs. Within a signature nodes are first compared with
   one of them, in rounds with changing centres; what is linked already is not
-  compared again. Only pairs still in different components are listed at the end,
-  after a second parity sketch (one bit per shingle) has shown that the Hamming
-  distance leaves a link possible.
-* Verification compares the sets themselves. Components follow from the links by
+  compared again. At the end the pairs still in different components are compared,
+  in bounded chunks where very many nodes share a signature.
+* Verification: a second parity sketch (one bit per shingle), whose Hamming distance
+  is a lower bound of the symmetric difference, rules most pairs out; the sets
+  themselves decide on the rest. Components follow from the links by
   repeated minimum labels.
 
 Defined cases: a null, empty or wordless text has an empty set and is linked
@@ -45,6 +46,7 @@ from flowtide.session import materialize
 
 SHINGLE = 5
 HOT_NODES = 64
+CHUNK_NODES = 500
 STAR_ROUNDS = 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xD6E8FEB86659FD93)
@@ -312,57 +314,59 @@ def _within(rows: DataFrame) -> DataFrame:
     return _by_signature(rows, "node").select("sig", "node", "label").mapInArrow(run, "a bigint, b bigint")
 
 
-def _across(rows: DataFrame, block: int = 512) -> DataFrame:
-    """As `_within`, for signatures of many nodes: only pairs that size and bit sketch do not rule out."""
+def _across(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between a signature's nodes in different components, for signatures of many nodes.
 
-    def pairs(node: list[int], label: list[int], size: list[int], bits: list[bytes]):
+    A signature's nodes are dealt to chunks, and each pair of chunks is one group, so a
+    task holds two chunks however many nodes share the signature. Size and bit sketch
+    rule pairs out; the sets decide on the rest, and only links are passed on.
+    """
+
+    def links(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        side, node, label, size, bits, hashes = zip(*group, strict=True)
         least = min(map(len, bits))
         sketch = np.stack([_folded(np.frombuffer(b, np.uint8), least) for b in bits]).view(np.uint64)
-        node, label, size = np.array(node), np.array(label), np.array(size)
-        main = np.bincount(np.unique(label, return_inverse=True)[1]).argmax()
-        loose = np.flatnonzero(label != np.unique(label)[main])  # pairs within the largest component are not needed
-        for x in range(0, len(loose), block):
-            i = loose[x : x + block]
-            for y in range(0, len(node), block):
-                j = np.arange(y, min(y + block, len(node)))
-                apart = np.zeros((len(i), len(j)), np.int64)
-                for word in range(sketch.shape[1]):
-                    apart += np.bitwise_count(sketch[i, word][:, None] ^ sketch[j, word][None, :])
-                s, t = size[i][:, None], size[j][None, :]
-                fits = (label[i][:, None] != label[j][None, :]) & (9 * apart <= s + t) & (5 * np.minimum(s, t) >= 4 * np.maximum(s, t))
-                for a, b in zip(*np.nonzero(fits), strict=True):
-                    yield int(node[i[a]]), int(node[j[b]])
+        side, label, size = np.array(side), np.array(label), np.array(size)
+        first = np.flatnonzero(side == side.min())
+        second = np.flatnonzero(side == side.max())
+        apart = np.zeros((len(first), len(second)), np.int64)
+        for word in range(sketch.shape[1]):
+            apart += np.bitwise_count(sketch[first, word][:, None] ^ sketch[second, word][None, :])
+        s, t = size[first][:, None], size[second][None, :]
+        fits = (label[first][:, None] != label[second][None, :]) & (9 * apart <= s + t) & (5 * np.minimum(s, t) >= 4 * np.maximum(s, t))
+        for x, y in zip(*np.nonzero(fits), strict=True):
+            i, j = first[x], second[y]
+            if node[i] != node[j] and linked(np.frombuffer(hashes[i], np.uint64), np.frombuffer(hashes[j], np.uint64)):
+                yield min(node[i], node[j]), max(node[i], node[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, group = None, ([], [], [], [])
+        last, group = None, []
         ready: set[tuple[int, int]] = set()
 
-        def close():
-            if len(group[0]) > 1:
-                for a, b in pairs(*group):
-                    ready.add((min(a, b), max(a, b)))
-            for column in group:
-                column.clear()
-
         def out():
-            found = sorted(ready)
+            found = list(ready)
             ready.clear()
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for sig, *row in zip(*[batch.column(c).to_pylist() for c in ("sig", "node", "label", "n", "bits")], strict=True):
-                if sig != last:
-                    close()
-                    last = sig
+            for sig, low, high, *row in zip(*[batch.column(c).to_pylist() for c in batch.schema.names], strict=True):
+                if (sig, low, high) != last:
+                    if len(group) > 1 and (last[1] == last[2] or len({r[0] for r in group}) == 2):
+                        ready.update(links(group))
+                    last, group = (sig, low, high), []
                     if len(ready) > 50_000:
                         yield out()
-                for column, value in zip(group, row, strict=True):
-                    column.append(value)
-        close()
+                group.append(tuple(row))
+        if len(group) > 1 and (last[1] == last[2] or len({r[0] for r in group}) == 2):
+            ready.update(links(group))
         if ready:
             yield out()
 
-    return _by_signature(rows, "node").select("sig", "node", "label", "n", "bits").mapInArrow(run, "a bigint, b bigint")
+    chunks = F.ceil(F.col("_nodes") / CHUNK_NODES).cast("int")
+    dealt = rows.withColumn("_side", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    dealt = dealt.withColumn("_low", F.least("_side", "_other")).withColumn("_high", F.greatest("_side", "_other"))
+    ordered = dealt.repartition("sig", "_low", "_high").sortWithinPartitions("sig", "_low", "_high", "node")
+    return ordered.select("sig", "_low", "_high", "_side", "node", "label", "n", "bits", "hashes").mapInArrow(run, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -428,14 +432,16 @@ def join_links(docs: DataFrame, rows: DataFrame, doc_id: str = "doc_id", text: s
         if turn < star_rounds:
             pairs = _stars(left, turn)
         else:
-            many = left.where(F.col("_nodes") > hot_nodes).join(sets.select("node", "n", "bits"), "node")
-            pairs = _within(left.where(F.col("_nodes") <= hot_nodes)).unionByName(_across(many))
+            pairs = _within(left.where(F.col("_nodes") <= hot_nodes))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = materialize(_verified(pairs, sets), "links")
+        found = _verified(pairs, sets)
+        if turn == star_rounds:
+            found = found.unionByName(_across(left.where(F.col("_nodes") > hot_nodes).join(sets, "node")).distinct())
+        found = materialize(found, "links")
         if found.isEmpty():
             continue
         links = found if links is None else links.unionByName(found)

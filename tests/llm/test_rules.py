@@ -189,7 +189,8 @@ def near_copies(seed, families, copies, length):
 
 
 @pytest.mark.parametrize(("seed", "length", "hot", "rounds"), [(1, 60, 64, 3), (2, 90, 3, 2), (3, 25, 2, 0), (4, 200, 4, 1)])
-def test_components_equal_brute_force(spark, seed, length, hot, rounds):
+def test_components_equal_brute_force(spark, monkeypatch, seed, length, hot, rounds):
+    monkeypatch.setattr(jaccard_join, "CHUNK_NODES", 3)
     texts = near_copies(seed, 6, 8, length)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows = jaccard_join.near_duplicates(docs, hot_nodes=hot, star_rounds=rounds).collect()
