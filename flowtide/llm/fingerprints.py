@@ -19,6 +19,7 @@ each other by md5 of their text.
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -77,9 +78,11 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
     return F.when(F.size(a) == 0, (F.size(b) == 0).cast("double")).otherwise(F.least(F.lit(1.0), both / distinct_count(a, k)))
 
 
-def with_next(docs: DataFrame, columns: list[str], doc_id: str, text: str, bucket_rows: int = 2_000) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], doc_id: str, text: str, bucket_rows: int = 2_000, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Adds `_next_<column>`: the value in the following row by descending id, the first row's after the last.
 
+    `prepare` adds columns that the following row is to supply; it runs once per row.
+
     Rows are cut at id quantiles into buckets that are sorted on their own; a
     copy of each bucket's first row closes the bucket before it.
     """
@@ -94,7 +97,7 @@ def with_next(docs: DataFrame, columns: list[str], doc_id: str, text: str, bucke
     same = (F.col("_bucket") == F.col("_own")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("_head.id")) & (F.col("_tie") == F.col("_head.tie"))
     closing = bucketed.join(F.broadcast(heads), same).dropDuplicates(["_own"])
     closing = closing.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_target").alias("_bucket"), "_tie", F.lit(True).alias("_closing"))
-    rows = bucketed.withColumn("_closing", F.lit(False)).unionByName(closing)
+    rows = prepare(bucketed.withColumn("_closing", F.lit(False))).unionByName(prepare(closing))
     following = W.partitionBy("_bucket").orderBy("_closing", F.desc_nulls_first(doc_id), F.desc("_tie"))
     rows = rows.select("*", *[F.lead(c).over(following).alias(f"_next_{c}") for c in columns])
     return rows.where(~F.col("_closing")).drop("_closing", "_bucket", "_tie")

@@ -139,7 +139,7 @@ FROM prints""",
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = fingerprints.with_next(fingerprints.sketch(docs), ["text", "sketch"], "doc_id", "text")
+    rows = fingerprints.with_next(docs, ["text", "sketch"], "doc_id", "text", prepare=fingerprints.sketch)
     rows = rows.withColumn("edited", fingerprints.edited(F.col("text"), F.col("_next_text")))
     rows = fingerprints.sketch(rows, "edited", "edited_sketch")
     return rows.select(
