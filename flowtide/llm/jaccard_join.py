@@ -314,16 +314,18 @@ def _within(rows: DataFrame) -> DataFrame:
     return _by_signature(rows, "node").select("sig", "node", "label").mapInArrow(run, "a bigint, b bigint")
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Links (a, b) between a signature's nodes in different components, for signatures of many nodes.
+def _across(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b) of a signature's nodes in different components, for signatures of many nodes.
 
     A signature's nodes are dealt to chunks, and each pair of chunks is one group, so a
     task holds two chunks however many nodes share the signature. Size and bit sketch
-    rule pairs out; the sets decide on the rest, and only links are passed on.
+    rule pairs out; a pair that shares several such signatures is passed on by the
+    smallest of them only.
     """
 
-    def links(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        side, node, label, size, bits, hashes = zip(*group, strict=True)
+    def pairs(sig: int, group: list[tuple]) -> Iterator[tuple[int, int]]:
+        side, node, label, size, bits, shared = zip(*group, strict=True)
+        shared = [set(x) for x in shared]
         least = min(map(len, bits))
         sketch = np.stack([_folded(np.frombuffer(b, np.uint8), least) for b in bits]).view(np.uint64)
         side, label, size = np.array(side), np.array(label), np.array(size)
@@ -336,7 +338,7 @@ def _across(rows: DataFrame) -> DataFrame:
         fits = (label[first][:, None] != label[second][None, :]) & (9 * apart <= s + t) & (5 * np.minimum(s, t) >= 4 * np.maximum(s, t))
         for x, y in zip(*np.nonzero(fits), strict=True):
             i, j = first[x], second[y]
-            if node[i] != node[j] and linked(np.frombuffer(hashes[i], np.uint64), np.frombuffer(hashes[j], np.uint64)):
+            if node[i] != node[j] and min(shared[i] & shared[j]) == sig:
                 yield min(node[i], node[j]), max(node[i], node[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,21 +354,23 @@ def _across(rows: DataFrame) -> DataFrame:
             for sig, low, high, *row in zip(*[batch.column(c).to_pylist() for c in batch.schema.names], strict=True):
                 if (sig, low, high) != last:
                     if len(group) > 1 and (last[1] == last[2] or len({r[0] for r in group}) == 2):
-                        ready.update(links(group))
+                        ready.update(pairs(last[0], group))
                     last, group = (sig, low, high), []
                     if len(ready) > 50_000:
                         yield out()
                 group.append(tuple(row))
         if len(group) > 1 and (last[1] == last[2] or len({r[0] for r in group}) == 2):
-            ready.update(links(group))
+            ready.update(pairs(last[0], group))
         if ready:
             yield out()
 
     chunks = F.ceil(F.col("_nodes") / CHUNK_NODES).cast("int")
+    every = rows.groupBy("node").agg(F.collect_list("sig").alias("_sigs"))  # bounded by the set's own signatures
+    rows = rows.join(every, "node").join(sketches, "node")
     dealt = rows.withColumn("_side", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     dealt = dealt.withColumn("_low", F.least("_side", "_other")).withColumn("_high", F.greatest("_side", "_other"))
     ordered = dealt.repartition("sig", "_low", "_high").sortWithinPartitions("sig", "_low", "_high", "node")
-    return ordered.select("sig", "_low", "_high", "_side", "node", "label", "n", "bits", "hashes").mapInArrow(run, "a bigint, b bigint")
+    return ordered.select("sig", "_low", "_high", "_side", "node", "label", "n", "bits", "_sigs").mapInArrow(run, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -432,16 +436,14 @@ def join_links(docs: DataFrame, rows: DataFrame, doc_id: str = "doc_id", text: s
         if turn < star_rounds:
             pairs = _stars(left, turn)
         else:
-            pairs = _within(left.where(F.col("_nodes") <= hot_nodes))
+            many = left.where(F.col("_nodes") > hot_nodes)
+            pairs = _within(left.where(F.col("_nodes") <= hot_nodes)).unionByName(_across(many, sets.select("node", "n", "bits")))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = _verified(pairs, sets)
-        if turn == star_rounds:
-            found = found.unionByName(_across(left.where(F.col("_nodes") > hot_nodes).join(sets, "node")).distinct())
-        found = materialize(found, "links")
+        found = materialize(_verified(pairs, sets), "links")
         if found.isEmpty():
             continue
         links = found if links is None else links.unionByName(found)
