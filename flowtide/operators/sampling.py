@@ -146,26 +146,42 @@ def stratified_kfold(
     return placed.withColumn(out, F.col("_fold").cast("int")).drop("_fold")
 
 
-def stratified_group_kfold(df: DataFrame, k: int, label: str, group: str, seed: int, out: str = "fold") -> DataFrame:
+def stratified_group_kfold(
+    df: DataFrame, k: int, label: str, group: str, seed: int, out: str = "fold", by_class: bool = True
+) -> DataFrame:
     """Adds a fold so that no group spans two; rows without a group form one group.
 
-    Groups in order of their largest class, then size, then seeded hash are dealt to the
-    folds in snake order (0..k-1, then back), so folds get groups of like size and mix.
+    A group belongs to the class of which it holds the largest share of the table. Class by
+    class, rarest first, groups in order of that class's count, then size, then seeded hash
+    are dealt to the folds in snake order (0..k-1, then back), each class beginning where the
+    one before left off, so folds get groups of like size and mix. With `by_class` off all
+    groups are one run in order of their largest count, whichever class that is.
     """
     name = F.coalesce(F.to_json(F.struct(q(group))), F.lit("{}"))
     rows = df.withColumn("_group", name)
-    per_class = rows.groupBy("_group", q(label)).agg(F.count(F.lit(1)).alias("_n"))
-    groups = per_class.groupBy("_group").agg(F.max("_n").alias("_most"), F.sum("_n").alias("_size"))
-    groups = materialize(groups, "groups")
-    # Rank by (largest class, size): the distinct pairs are counted, groups of one pair are ranked by hash.
-    steps = groups.groupBy("_most", "_size").agg(F.count(F.lit(1)).alias("_of"))
-    falling = Window.partitionBy(F.lit(0)).orderBy(F.desc("_most"), F.desc("_size"))
-    steps = steps.select("_most", "_size", (F.sum("_of").over(falling) - F.col("_of")).alias("_before"))
-    ranked = scale.distributed_rank(groups, ["_most", "_size"], ["_group"], seed, "_rank").join(steps, ["_most", "_size"])
+    per_class = rows.groupBy("_group", F.to_json(F.struct(q(label))).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
+    if by_class:
+        per_class = materialize(per_class, "group-classes")
+        totals = per_class.groupBy("_class").agg(F.sum("_n").alias("_total"))
+        per_class = per_class.join(scale.small(totals), "_class").withColumn("_part", F.col("_n") / F.col("_total"))
+    else:
+        per_class = per_class.select("_group", F.lit("").alias("_class"), F.lit(0).alias("_total"), F.col("_n").alias("_part"), "_n")
+    top = F.min(F.struct((-F.col("_part")).alias("_part"), "_total", "_class", F.col("_n").alias("_most"))).alias("_top")
+    groups = per_class.groupBy("_group").agg(top, F.sum("_n").alias("_size"))
+    groups = materialize(groups.select("_group", "_size", "_top._class", "_top._total", "_top._most"), "groups")
+    # Rank in a class by (count, size): the distinct pairs are counted, groups of one pair are ranked by hash.
+    at = ["_class", "_most", "_size"]
+    steps = groups.groupBy(*at).agg(F.count(F.lit(1)).alias("_of"))
+    falling = Window.partitionBy("_class").orderBy(F.desc("_most"), F.desc("_size"))
+    steps = steps.select(*at, (F.sum("_of").over(falling) - F.col("_of")).alias("_before"))
+    runs = groups.groupBy("_class", "_total").agg(F.count(F.lit(1)).alias("_of"))
+    rarest = Window.partitionBy(F.lit(0)).orderBy("_total", "_class")
+    runs = runs.select("_class", ((F.sum("_of").over(rarest) - F.col("_of")) % k).alias("_begin"))
+    ranked = scale.distributed_rank(groups, at, ["_group"], seed, "_rank").join(steps, at).join(scale.small(runs), "_class")
     place = F.col("_before") + F.col("_rank")
     step = place % k
-    fold = F.when(F.floor(place / k) % 2 == 0, step).otherwise(k - 1 - step).cast("int")
-    mapping = ranked.select("_group", fold.alias(out))
+    turn = F.when(F.floor(place / k) % 2 == 0, step).otherwise(k - 1 - step)
+    mapping = ranked.select("_group", ((turn + F.col("_begin")) % k).cast("int").alias(out))
     joined = scale.left_join_stats(rows, mapping, ["_group"], scale.hot_groups(rows, ["_group"]))
     return joined.select(*[q(c) for c in df.columns], q(out))
 

@@ -186,6 +186,18 @@ def test_group_kfold_keeps_groups_whole(spark):
     assert {r["fold"] for r in out} == {0, 1, 2, 3}
 
 
+def test_group_kfold_deals_a_rare_class_to_every_fold(spark):
+    pure = spark.range(20 * 210).select((F.col("id") % 210).alias("g")).withColumn("y", (F.col("g") < 10).cast("int"))
+    mixed = spark.range(300).select((F.col("id") % 30).alias("g"), F.when(F.col("id") % 30 < 6, 2).when(F.col("id") % 2 == 0, None).otherwise(0).alias("y"))
+    for df, k, largest in ((pure, 5, 0), (pure, 4, 20), (mixed, 4, 10)):
+        for seed in range(2):
+            out = sampling.stratified_group_kfold(df, k, "y", "g", seed).collect()
+            assert len(out) == df.count()
+            for y in {r["y"] for r in out}:
+                held = Counter(r["fold"] for r in out if r["y"] == y)
+                assert all(abs(held[f] - sum(held.values()) / k) <= largest for f in range(k)), (y, seed, held)
+
+
 def test_time_folds_never_look_ahead(spark):
     df = spark.range(100).withColumn("t", F.timestamp_seconds(F.floor(F.col("id") / 3) * 100).cast("timestamp_ntz"))
     out = sampling.time_series_split(df, 4, "t", ["id"], gap=2).collect()
