@@ -25,17 +25,25 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one with the smallest id stays; of repeated rows one."""
-    near = materialize(jaccard_join.near_duplicates(docs), "near-duplicates")
-    gone = small(near.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = near.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    again = materialize(again, "repeated-ids")
+    """Of every group of linked documents one row stays, of the smallest id; of repeated rows without words one.
+
+    An id on one row is decided by the id alone, an id on several rows text by text.
+    """
+    near = materialize(jaccard_join.near_duplicates(docs, nodes=True), "near-duplicates")
+    ids = near.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.count("*") > 1).alias("_again"), F.min("stays").alias("_stays"))
+    ids = materialize(ids.where("_again OR NOT _stays"), "repeated-or-gone")
+    kept = docs.join(small(ids.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    again = ids.where("_again").select("doc_id")
     if again.isEmpty():
         return kept
     again = small(again)
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once)
+    rows = jaccard_join.with_node(docs.join(again, "doc_id", "left_semi"), docs.columns, names=("_n", "_node"))
+    stays = near.where("stays").join(again, "doc_id", "left_semi").select("doc_id", F.col("node").alias("_node")).distinct()
+    wordless = F.when(F.col("_n") == 0, F.struct("text"))  # no set to compare: only equal texts are copies
+    once = rows.join(stays, ["doc_id", "_node"], "left_semi").groupBy("doc_id", "_node", wordless.alias("_text"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = once.agg(F.min_by(F.struct(*columns), F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*columns))).alias("_row"))
+    return kept.unionByName(once.select(*[F.col(f"_row.`{c}`") for c in docs.columns]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ ignored. Sets are told apart by 64-bit content hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -159,8 +159,8 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= 80 * (len(a) + len(b) - common)
 
 
-def document_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, n_shingles, node) of every row."""
+def with_node(docs: DataFrame, keep: Sequence[str], text: str = "text", names: Sequence[str] = ("n_shingles", "node")) -> DataFrame:
+    """Kept columns plus the size and the content hash of the text's set."""
 
     def build():
         def work(texts):
@@ -169,7 +169,12 @@ def document_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
         return work
 
-    return map_text(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), build, "n_shingles bigint, node bigint", ("_id",), "_text")
+    return map_text(docs, build, ", ".join(f"`{n}` bigint" for n in names), keep, text)
+
+
+def document_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, n_shingles, node) of every row."""
+    return with_node(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), ("_id",), "_text")
 
 
 def _index(docs: DataFrame, text: str) -> DataFrame:
@@ -451,13 +456,19 @@ def join_links(docs: DataFrame, rows: DataFrame, doc_id: str = "doc_id", text: s
     return labels, links if links is not None else docs.sparkSession.createDataFrame([], "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_nodes: int = HOT_NODES, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_nodes: int = HOT_NODES, star_rounds: int = STAR_ROUNDS, nodes: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; with `nodes` also its node and whether
+    (doc_id, node) is the one that stands for its component: the smallest id, then the smallest node."""
     every = materialize(document_sets(docs, doc_id, text), "document-sets")
     rows = every.where("_id IS NOT NULL AND n_shingles > 0")
     labels, _ = join_links(docs, rows, doc_id, text, hot_nodes, star_rounds)
-    rows = materialize(rows.join(labels, "node", "left").select("_id", "n_shingles", F.coalesce("label", "node").alias("label")), "labelled-documents")
-    least = rows.groupBy("label").agg(F.min("_id").alias("component_id"))
-    shown = rows.join(least, "label").select(F.col("_id").alias(doc_id), "n_shingles", "component_id")
-    alone = every.where("_id IS NULL OR n_shingles = 0").select(F.col("_id").alias(doc_id), "n_shingles", F.col("_id").alias("component_id"))
-    return shown.unionByName(alone)
+    extra = ["node"] if nodes else []
+    rows = materialize(rows.join(labels, "node", "left").select("_id", "n_shingles", F.coalesce("label", "node").alias("label"), *extra), "labelled-documents")
+    first = F.min(F.struct("_id", *extra)).alias("_first")
+    shown = rows.join(rows.groupBy("label").agg(first), "label").withColumn("component_id", F.col("_first._id"))
+    alone = every.where("_id IS NULL OR n_shingles = 0").withColumn("component_id", F.col("_id"))
+    if nodes:
+        shown = shown.withColumn("stays", F.struct("_id", "node") == F.col("_first"))
+        alone, extra = alone.withColumn("stays", F.lit(True)), ["node", "stays"]
+    columns = [F.col("_id").alias(doc_id), "n_shingles", "component_id", *extra]
+    return shown.select(*columns).unionByName(alone.select(*columns))

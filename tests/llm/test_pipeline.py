@@ -70,6 +70,19 @@ def test_repeated_rows_leave_one(spark, corpus):
     assert corpus_pipeline.drop_near_duplicates(spark, docs.union(docs), folder).count() == 2
 
 
+def test_an_id_on_several_rows_is_judged_text_by_text(spark):
+    rng = random.Random(8)
+    x, y, z, v = (prose(rng, 40) for _ in range(4))
+    rows = [(3, x), (5, x), (5, y), (7, z), (7, z + " end"), (8, z + " end"), (3, v), (9, v), (6, ""), (6, ""), (6, " "), (None, x), (None, x)]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.dtypes == docs.dtypes
+    got = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    one_of_two = [r for r in got if r[0] == 7]
+    assert len(one_of_two) == 1 and one_of_two[0][1] in (z, z + " end")
+    assert [r for r in got if r[0] != 7] == sorted([(0, x), (0, x), (3, x), (3, v), (5, y), (6, ""), (6, " ")])
+
+
 def test_empty_documents(spark, corpus):
     folder = corpus[0]
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
