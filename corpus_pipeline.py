@@ -21,7 +21,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     model = language.learn(docs, ~fold("doc_id", 4, 2))
     names = ("_lang_pred", "_lang_score", "_lang_bits", "_lang_symbols")
     read = language.predict(docs, model, keep=docs.columns, names=names)
-    return read.where(~language.rejected("_lang_pred", "_lang_bits", "_lang_symbols")).select(*docs.columns)
+    return read.where(~language.rejected("_lang_pred", "_lang_bits", "_lang_symbols", model.limit("_lang_pred"))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ from flowtide.llm.common import map_text, unit_hash
 from flowtide.operators.scale import small
 
 BLOCK = 1024
+PLAIN_BITS = 8.0
 LANES = 2_000_000
 SPACE = 1
 
@@ -108,6 +109,7 @@ class Model:
         streams = [np.concatenate([[SPACE], *[np.append(symbols(t, lookup), SPACE) for t in samples[k]]]) for k in self.langs]
         self.automata = [Automaton(s.tolist()) for s in streams]
         self.weight = np.array([math.log2(len(s) + 1) for s in streams])
+        self.limits = {k: _limit([symbols(t, lookup) for t in samples[k]]) for k in self.langs}
 
     def lookup(self) -> np.ndarray:
         """Code of every code point: 0 an unlearnt letter, 1 no letter, from 2 the alphabet."""
@@ -118,11 +120,38 @@ class Model:
                 out[ord(c.upper())] = code
         return out
 
+    def limit(self, lang: str = "lang_pred") -> Column:
+        """Bits per symbol above which a text counts as none of the row's language."""
+        pairs = [F.lit(v) for k in self.langs for v in (k, self.limits[k])]
+        return F.coalesce(F.create_map(*pairs)[F.col(lang)], F.lit(PLAIN_BITS)) if pairs else F.lit(PLAIN_BITS)
+
     def packed(self) -> dict:
         """What a worker needs, as plain arrays."""
         return {"langs": self.langs, "width": self.width, "weight": self.weight, "lookup": self.lookup(), "tables": [a.table(self.width) for a in self.automata]}
 
 
+def _limit(rows: list[np.ndarray]) -> float:
+    """The limit of a language, from its labelled rows: every second one is parsed by the others.
+
+    Two costs are taken of such a row, as it is and with its symbols in random order. The
+    limit is the usual cost without order or the highest with it, whichever is more, over
+    the rows whose order helps; no less than plain bytes.
+    """
+    rows = [r for r in rows if (r != SPACE).any()]
+    if len(rows) == 1:
+        rows = np.array_split(rows[0], 2)
+    known = np.concatenate([[SPACE], *[np.append(r, SPACE) for r in rows[::2]]])
+    automaton, weight, random = Automaton(known.tolist()), math.log2(len(known) + 1), np.random.default_rng(0)
+    ordered, mixed = [], []
+    for r in rows[1::2]:
+        if len(r):
+            plain, any_order = (weight * automaton.phrases(s.tolist()) / len(r) for s in (r, random.permutation(r)))
+            if plain < any_order:
+                ordered.append(plain)
+                mixed.append(any_order)
+    return float(max([PLAIN_BITS, *ordered, *([np.median(mixed)] if mixed else [])]))
+
+
 def symbols(text: str, lookup: np.ndarray) -> np.ndarray:
     """Symbol codes with runs of non-letters joined to one space."""
     codes = lookup[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
@@ -241,6 +270,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[st
     return map_text(docs, lambda: _predictor(shared), ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)), keep, text)
 
 
-def rejected(lang: str = "lang_pred", bits: str = "bits", n_symbols: str = "n_symbols", limit: float = 8.0, at_least: int = 64) -> Column:
-    """No letters at all, or a text of some length that no learnt language explains better than plain bytes (8 bits a symbol)."""
+def rejected(lang: str = "lang_pred", bits: str = "bits", n_symbols: str = "n_symbols", limit: float | Column = PLAIN_BITS, at_least: int = 64) -> Column:
+    """No letters at all, or a text of some length that costs more than the limit, by default 8 bits a symbol.
+
+    `Model.limit` gives the limit of each language: one of thousands of signs needs more than plain bytes.
+    """
     return (F.col(lang) == "und") | ((F.col(n_symbols) >= at_least) & (F.col(bits) > limit))

@@ -146,6 +146,29 @@ def test_language_on_given_documents_and_odd_rows(spark, odd_docs):
     assert {r.lang_pred for r in language.predict(odd_docs, nothing).collect()} == {"und"}
 
 
+def many_signs(rng, words, n, start=0x4E00):
+    """Words of one or two signs out of thousands, most often the early ones."""
+    out = []
+    while len(out) < n:
+        out += words[int(len(words) * rng.random() ** 4)]
+    return "".join(chr(start + c) for c in out[:n])
+
+
+def test_a_language_of_thousands_of_signs_keeps_its_texts(spark):
+    rng = random.Random(12)
+    words = [[int(3000 * rng.random() ** 2) for _ in range(rng.choice((1, 2, 2)))] for _ in range(8000)]
+    rare = words[:400] + rng.sample(words[400:], len(words) - 400)  # the same language on another subject
+    rows = [(i, many_signs(rng, words, 500), "zz") for i in range(60)] + [(i, prose(rng, 90), "en") for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs, F.lit(True))
+    assert model.limits["en"] == 8.0 < model.limits["zz"] < model.weight[1]
+    tests = [(1, many_signs(rng, rare, 1500)), (2, prose(rng, 80)), (3, many_signs(rng, words, 400, start=0xAC00)), (4, "".join(chr(0x3B1 + rng.randrange(24)) for _ in range(300)))]
+    read = language.predict(spark.createDataFrame(tests, "doc_id long, text string"), model)
+    got = {r.doc_id: (r.gone, r.lang_pred, r.bits) for r in read.select("*", language.rejected(limit=model.limit()).alias("gone")).collect()}
+    assert got[1][1] == "zz" and got[1][2] > 8
+    assert [got[i][0] for i in (1, 2, 3, 4)] == [False, False, True, True], (got, model.limits)
+
+
 # Jaccard join
 
 def brute_components(texts):
