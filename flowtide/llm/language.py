@@ -234,14 +234,18 @@ def learn(docs: DataFrame, learn_from: Column, text: str = "text", lang: str = "
     """Fits the automata on a bounded sample of the labelled rows that `learn_from` admits.
 
     Per language about `sample_docs` rows, chosen by hash of the id, contribute
-    up to `sample_chars` characters each; all languages together at most
-    `total_chars`, so the broadcast model does not grow with the data.
+    an excerpt of up to `sample_chars` characters each, from a place in the text
+    that is hashed from the id too; excerpts without a letter are passed over.
+    All languages together give at most `total_chars`, so the broadcast model does not grow with the data.
     """
     rows = docs.where(learn_from & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
-    counts = rows.groupBy(F.col(lang).alias("lang")).count()
+    spare = F.greatest(F.char_length(text) - sample_chars, F.lit(0))
+    start = F.floor(unit_hash(doc_id, seed=4) * (spare + 1)).cast("int") + 1
+    rows = rows.select(F.col(lang).alias("lang"), F.substring(F.col(text), start, F.lit(sample_chars)).alias("text"), unit_hash(doc_id, seed=3).alias("_u"), F.col(doc_id).alias("_id"))
+    rows = rows.where(F.col("text").rlike(r"\p{L}"))
+    counts = rows.groupBy("lang").count()
     picked = (
-        rows.select(F.col(lang).alias("lang"), F.substring(text, 1, sample_chars).alias("text"), unit_hash(doc_id, seed=3).alias("_u"), F.col(doc_id).alias("_id"))
-        .join(small(counts), "lang")
+        rows.join(small(counts), "lang")
         .where(F.col("_u") < F.lit(2.0 * sample_docs) / F.col("count"))
         .withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("_u", "_id", "text")))
         .where(F.col("_n") <= sample_docs)

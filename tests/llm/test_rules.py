@@ -169,6 +169,16 @@ def test_a_language_of_thousands_of_signs_keeps_its_texts(spark):
     assert [got[i][0] for i in (1, 2, 3, 4)] == [False, False, True, True], (got, model.limits)
 
 
+def test_languages_are_learnt_past_a_common_header(spark):
+    rng = random.Random(13)
+    header = prose(rng, 150)  # more than sample_chars characters
+    bodies = {"aa": lambda: prose(rng, 400), "bb": lambda: prose(rng, 400)[::-1].lower(), "cc": lambda: "".join(chr(0x3B1 + rng.randrange(24)) for _ in range(2000))}
+    rows = [(1000 * k + i, ("0" * 800 if lang == "cc" else header) + " " + body(), lang) for k, (lang, body) in enumerate(bodies.items()) for i in range(40)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    fresh = spark.createDataFrame([(i, body(), lang) for lang, body in bodies.items() for i in range(5)], "doc_id long, text string, lang string")
+    assert all(r.lang == r.lang_pred for r in language.predict(fresh, model, keep=("lang",)).collect())
+
+
 # Jaccard join
 
 def brute_components(texts):
