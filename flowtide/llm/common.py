@@ -25,6 +25,14 @@ def unit_hash(*columns: str, seed: int = 0) -> Column:
     return (F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
 
 
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """`name`, lengthened until no taken column has it (Spark compares names without case)."""
+    lowered = {c.lower() for c in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
+
+
 def map_text(
     docs: DataFrame,
     build: Callable[[], Callable[[list[str | None]], list[Sequence]]],
@@ -36,18 +44,19 @@ def map_text(
     """Adds columns computed from each text in one pass without a shuffle.
 
     `build()` runs once per task and returns a function from a list of texts to
-    one list per field of `fields` (a DDL string). Texts are handed over `rows`
+    one list or Arrow array per field of `fields` (a DDL string). Texts are handed over `rows`
     at a time, so memory is bounded by the longest texts, not by the partition.
     Kept columns pass through untouched; a kept column named like a field is
-    replaced by the field.
+    replaced by the field. A text that is kept too is sent once.
     """
     added = T._parse_datatype_string(fields)
     names = {f.name for f in added}
     kept = [c for c in keep if c not in names]
-    slot = "_text_in"
-    while slot in kept:
-        slot += "_"
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(slot))
+    if text in kept and docs.schema[text].dataType == T.StringType():
+        slot, source = text, docs.select(*[F.col(f"`{c}`") for c in kept])
+    else:
+        slot = free_name("_text_in", kept)
+        source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(slot))
     schema = T.StructType([docs.schema[c] for c in kept] + list(added))
     arrow = to_arrow_schema(schema)
 
@@ -58,7 +67,9 @@ def map_text(
                 batch = whole.slice(start, rows)
                 results = work(batch.column(slot).to_pylist())
                 columns = [batch.column(c).cast(arrow.field(c).type) for c in kept]
-                columns += [pa.array(v, type=arrow.field(f.name).type) for v, f in zip(results, added, strict=True)]
+                columns += [v if isinstance(v, pa.Array) else pa.array(v, type=arrow.field(f.name).type) for v, f in zip(results, added, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            del whole, batch, results, columns
+            pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)

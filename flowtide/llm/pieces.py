@@ -7,12 +7,16 @@ path gives the piece ids. Scores are those stored in the vocabulary file; a
 character without a piece of its own costs `penalty` below the lowest score and
 is written as its UTF-8 bytes.
 
+A model that puts a word-start mark before a text (found out when it is loaded)
+gets it here too, and decoding takes it off again.
+
 Where no piece of the vocabulary continues (before a space that follows another
 character, at a line break, between a letter and most punctuation; proved from
 the vocabulary when it is loaded) a text is cut, and its best path is the best
-paths of its chunks put together. Paths of short chunks
-are remembered, up to a bound. If a vocabulary has pieces across spaces, a whole
-text is one chunk.
+paths of its chunks put together. Paths of short chunks are remembered as the
+bytes of their ids, in two generations of at most CACHE_BYTES each, so a text's
+ids are one flat buffer from the start. If a vocabulary has pieces across
+spaces, a whole text is one chunk.
 
 The vocabulary file is read on the driver; its pieces (a bounded table) are
 broadcast.
@@ -28,10 +32,11 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+import sys
 from array import array
 from collections.abc import Callable, Sequence
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +46,7 @@ from flowtide.llm.common import map_text
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LETTER = re.compile(r"[^\W\d_]")
-CACHE = 600_000
+CACHE_BYTES = 24 << 20
 CACHED_CHARS = 48
 UNKNOWN = (1, 0.0, -1)
 
@@ -49,8 +54,8 @@ UNKNOWN = (1, 0.0, -1)
 class Vocabulary:
     """Pieces, scores and kinds, as read from a model file; picklable."""
 
-    def __init__(self, pieces: list[str], scores: list[float], usable: list[bool], bytes_at: dict[int, int], unknown: int):
-        self.pieces, self.scores, self.usable, self.bytes_at, self.unknown = pieces, scores, usable, bytes_at, unknown
+    def __init__(self, pieces: list[str], scores: list[float], usable: list[bool], bytes_at: dict[int, int], unknown: int, marked: bool = False):
+        self.pieces, self.scores, self.usable, self.bytes_at, self.unknown, self.marked = pieces, scores, usable, bytes_at, unknown, marked
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -61,7 +66,8 @@ class Vocabulary:
         pieces = [sp.id_to_piece(i) for i in range(n)]
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i) for i in range(n)]
         bytes_at = {int(pieces[i][3:-1], 16): i for i in range(n) if sp.is_byte(i)}
-        return cls(pieces, [sp.get_score(i) for i in range(n)], [not s for s in special], bytes_at, sp.unk_id())
+        marked = sp.encode_as_pieces("a")[0].startswith(MARK)
+        return cls(pieces, [sp.get_score(i) for i in range(n)], [not s for s in special], bytes_at, sp.unk_id(), marked)
 
 
 def chunker(pieces: list[str]) -> Callable[[str], list[str]]:
@@ -113,7 +119,10 @@ class Codec:
         if v.unknown >= 0:
             self.spelled[v.unknown] = "�".encode()
         self.chunks = chunker([texts[i] for i in used])
-        self.cache: dict[str, list[int]] = {}
+        self.mark = " " if v.marked else ""
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.cached = 0
         self.steps: dict[int, tuple[int, dict[str, tuple]]] = {0: (0, {})}
 
     def _step(self, row: tuple[int, dict[str, tuple]], c: str) -> tuple:
@@ -162,23 +171,56 @@ class Codec:
         out.reverse()
         return out
 
-    def encode(self, text: str) -> list[int]:
-        cache = self.cache
-        chunks = self.chunks(text)
-        paths = list(map(cache.get, chunks))
+    def _path(self, chunk: str) -> bytes:
+        """The chunk's ids as 32-bit numbers, remembered if it is short."""
+        path = self.older.get(chunk)
+        if path is None:
+            path = array("i", self.best_path(chunk)).tobytes()
+        if len(chunk) <= CACHED_CHARS:
+            self.cached += sys.getsizeof(chunk) + sys.getsizeof(path) + 100  # its share of the dictionary
+            if self.cached > CACHE_BYTES:
+                self.older, self.cache, self.cached = self.cache, {}, 0
+            self.cache[chunk] = path
+        return path
+
+    def encode_flat(self, text: str) -> bytes:
+        """Ids of a whole text as consecutive 32-bit numbers."""
+        if not text:
+            return b""
+        chunks = self.chunks(self.mark + text)
+        paths = list(map(self.cache.get, chunks))
         if None in paths:
             for at, path in enumerate(paths):
                 if path is None:
-                    paths[at] = path = self.best_path(chunks[at])
-                    if len(chunks[at]) <= CACHED_CHARS:
-                        if len(cache) >= CACHE:
-                            cache.clear()
-                        cache[chunks[at]] = path
-        return list(chain.from_iterable(paths))
+                    chunk = chunks[at]
+                    paths[at] = self.cache.get(chunk) or self._path(chunk)
+        return b"".join(paths)
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.encode_flat(text)).tolist()
 
     def decode(self, ids: Sequence[int]) -> str:
         spelled, n = self.spelled, len(self.spelled)
-        return b"".join([spelled[i] if i is not None and 0 <= i < n else b"\xef\xbf\xbd" for i in ids]).decode("utf-8", "replace")
+        data = b"".join([spelled[i] if i is not None and 0 <= i < n else b"\xef\xbf\xbd" for i in ids])
+        return self._unmarked(data)
+
+    def decode_flat(self, flat: bytes) -> str:
+        """The text of ids that this codec gave."""
+        return self._unmarked(b"".join(map(self.spelled.__getitem__, array("i", flat))))
+
+    def _unmarked(self, data: bytes) -> str:
+        if self.mark and data.startswith(b" "):
+            data = data[1:]
+        return data.decode("utf-8", "replace")
+
+
+def id_lists(flats: Sequence[bytes | None]) -> pa.Array:
+    """list<int32> of flat id buffers, without a Python object per id."""
+    ends = np.cumsum([0, *[len(f) // 4 if f is not None else 0 for f in flats]])
+    missing = [f is None for f in flats]
+    offsets = pa.array(ends, pa.int32(), mask=np.array([*missing, False])) if any(missing) else pa.array(ends, pa.int32())
+    values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(f for f in flats if f is not None))])
+    return pa.ListArray.from_arrays(offsets, values)
 
 
 _codecs: list[tuple[Vocabulary, Codec]] = []
@@ -191,10 +233,13 @@ def codec(vocabulary: Vocabulary) -> Codec:
     return _codecs[0][1]
 
 
-def ids_digest(ids: Sequence[int]) -> str:
+def ids_digest(flat: bytes) -> str:
     """sha256 of the ids as little-endian 32-bit numbers."""
-    data = array("i", ids)
-    return hashlib.sha256(data.tobytes()).hexdigest()
+    if sys.byteorder == "big":
+        swapped = array("i", flat)
+        swapped.byteswap()
+        flat = swapped.tobytes()
+    return hashlib.sha256(flat).hexdigest()
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -204,15 +249,40 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: Se
     def build():
         worker = codec(shared.value)
 
-        def work(texts: list[str | None]) -> list[list]:
-            ids = [None if t is None else worker.encode(t) for t in texts]
-            return [ids, [None if v is None else ids_digest(v) for v in ids]]
+        def work(texts: list[str | None]) -> list:
+            flats = [None if t is None else worker.encode_flat(t) for t in texts]
+            return [id_lists(flats), [None if f is None else ids_digest(f) for f in flats]]
 
         return work
 
     return map_text(docs, build, "ids array<int>, ids_sha256 string", keep, text, rows=64)
 
 
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: Sequence[str] = ("doc_id",), names: Sequence[str] = ("ids", "ids_sha256", "decoded")) -> DataFrame:
+    """Encodes and decodes in one pass: kept columns plus ids, their digest and the text they spell.
+
+    Columns that a query does not ask for (`names` with None) are not sent back.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    kinds = [f"`{n}` {k}" for n, k in zip(names, ("array<int>", "string", "string"), strict=True) if n]
+
+    def build():
+        worker = codec(shared.value)
+
+        def work(texts: list[str | None]) -> list:
+            flats = [None if t is None else worker.encode_flat(t) for t in texts]
+            makers = (
+                lambda: id_lists(flats),
+                lambda: [None if f is None else ids_digest(f) for f in flats],
+                lambda: [None if f is None else worker.decode_flat(f) for f in flats],
+            )
+            return [make() for n, make in zip(names, makers, strict=True) if n]
+
+        return work
+
+    return map_text(docs, build, ", ".join(kinds), keep, text, rows=64)
+
+
 def decode(encoded: DataFrame, vocabulary: Vocabulary, keep: Sequence[str] = ("doc_id",), name: str = "text") -> DataFrame:
     """Kept columns plus the text spelled by `ids`."""
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)

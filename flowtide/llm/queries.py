@@ -86,10 +86,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_pieces")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every whole text, decodes the ids again and reports digests of both."""
-    vocabulary = pieces.Vocabulary.load()
-    encoded = pieces.encode(_documents(spark, sf_dir), vocabulary).withColumn("n_pieces", F.size("ids").cast("bigint"))
-    decoded = pieces.decode(encoded, vocabulary, ("doc_id", "n_pieces", "ids_sha256"))
-    return decoded.select("doc_id", "n_pieces", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    both = pieces.round_trip(_documents(spark, sf_dir), pieces.Vocabulary.load())
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op7_token_counts")

@@ -285,6 +285,7 @@ def test_best_path_equals_plain_dynamic_programming(vocabulary):
     rng = random.Random(6)
     for _ in range(200):
         text = "".join(rng.choice(["the", " ", "  ", "an", "e,", "\n", "é", "中", "😀", "▁", ".com", "Q"]) for _ in range(rng.randint(0, 12)))
+        whole, text = text, " " + text if text else ""  # this model marks the first word
         best = [(0.0, [])]
         for end in range(1, len(text) + 1):
             options = []
@@ -295,9 +296,9 @@ def test_best_path_equals_plain_dynamic_programming(vocabulary):
             if text[end - 1] not in scores:
                 options.append((best[end - 1][0] + codec.unknown_score, best[end - 1][1] + [vocabulary.bytes_at[b] for b in text[end - 1].encode()]))
             best.append(max(options, key=lambda o: o[0]))
-        ids = codec.encode(text)
+        ids = codec.encode(whole)
         assert ids == best[-1][1]
-        assert codec.decode(ids) == text
+        assert codec.decode(ids) == whole == codec.decode_flat(codec.encode_flat(whole))
 
 
 def test_whole_text_path_equals_chunked_path(vocabulary):
@@ -305,13 +306,36 @@ def test_whole_text_path_equals_chunked_path(vocabulary):
     rng = random.Random(8)
     for _ in range(50):
         text = prose(rng, 12).replace("re", "re,").replace("st", "st.\n") + " (www.x.com) it's 12%"
-        assert codec.encode(text) == codec.best_path(text)
+        assert codec.encode(text) == codec.best_path(" " + text)
+
+
+def test_the_first_word_is_marked_as_the_model_does(vocabulary):
+    codec = pieces.Codec(vocabulary)
+    assert vocabulary.marked and vocabulary.pieces[codec.encode("The")[0]].startswith(pieces.MARK)
+    assert codec.encode("") == [] and codec.decode(codec.encode("  two")) == "  two"
+
+
+def test_forgetting_paths_changes_nothing(vocabulary, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 2_000)
+    small, rng = pieces.Codec(vocabulary), random.Random(12)
+    texts = [prose(rng, 60) for _ in range(20)]
+    got = [small.encode(t) for t in texts]
+    assert max(len(small.cache), len(small.older)) < 20
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 1 << 30)
+    assert got == [pieces.Codec(vocabulary).encode(t) for t in texts]
 
 
 def test_pieces_round_trip_on_odd_rows(spark, odd_docs, vocabulary):
     encoded = pieces.encode(odd_docs, vocabulary)
     back = {(r.doc_id, r.text) for r in pieces.decode(encoded, vocabulary).collect()}
     assert back == {(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()}
+    both = pieces.round_trip(odd_docs, vocabulary, keep=("doc_id", "ids", "text"))
+    assert both.columns == ["doc_id", "text", "ids", "ids_sha256", "decoded"]
+    rows = both.collect()
+    assert len(rows) == odd_docs.count() and all(r.decoded == r.text for r in rows)
+    want = {(r.doc_id, tuple(r.ids or ()), r.ids_sha256) for r in encoded.collect()}
+    assert {(r.doc_id, tuple(r.ids or ()), r.ids_sha256) for r in rows} == want
+    assert pieces.round_trip(odd_docs.limit(0), vocabulary).count() == 0
     assert pieces.Codec(vocabulary).decode([10**6, None]) == "��"
 
 
