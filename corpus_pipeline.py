@@ -62,10 +62,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, with the digest of what they decode to."""
-    vocabulary = pieces.Vocabulary.load()
-    encoded = pieces.encode(docs, vocabulary, keep=("doc_id", "lang", "source"))
-    decoded = pieces.decode(encoded.withColumn("pieces", F.col("ids")), vocabulary, ("doc_id", "lang", "source", "pieces"), "_text")
-    return decoded.select("doc_id", "lang", "source", F.size("pieces").cast("bigint").alias("n_pieces"), "pieces", F.sha2("_text", 256).alias("text_sha256"))
+    both = pieces.round_trip(docs, pieces.Vocabulary.load(), keep=("doc_id", "lang", "source"), names=("pieces", None, "_text"))
+    return both.select("doc_id", "lang", "source", F.size("pieces").cast("bigint").alias("n_pieces"), "pieces", F.sha2("_text", 256).alias("text_sha256"))
 
 
 STAGES = [
