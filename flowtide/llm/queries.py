@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.llm import decontamination, fingerprints, jaccard_join, language, personal_data, pieces, quality, sharding, token_counts, toxicity
+from flowtide.llm import decontamination, fingerprints, jaccard_join, language, periodic_runs, personal_data, pieces, quality, sharding, token_counts, toxicity
 from flowtide.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,3 +212,44 @@ FROM (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) LEFT JOI
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_documents(spark, sf_dir))
+
+
+@query(
+    "op11_periodic_runs",
+    f"""
+WITH {_CRC_TABLE},
+ids AS (SELECT doc_id, coalesce(text, '') AS body, CAST(doc_id AS VARCHAR) AS text FROM documents),
+crc AS (SELECT doc_id, body, xor(list_reduce(list_prepend(4294967295::BIGINT, {_UTF8}), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) AS h
+    FROM ids, crc_table),
+given AS (SELECT doc_id, h, regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+') AS w FROM crc),
+sized AS (SELECT *, len(w) AS n, (h // 10) % len(w) AS a FROM given),
+placed AS (SELECT *, (n - a) // (3 + (h // 10) % 8) + 1 AS p FROM sized),
+words AS (SELECT doc_id, n, i, w[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS x FROM (SELECT *, unnest(range(n)) AS i FROM placed)),
+same AS (SELECT u.doc_id, u.i, v.i - u.i AS q FROM words u JOIN words v ON u.doc_id = v.doc_id AND u.x = v.x AND v.i > u.i AND 2 * (v.i - u.i) <= u.n),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same) GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(12, 2 * q) GROUP BY doc_id, start, length),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    first(start ORDER BY length DESC, start, period) AS start, first(length ORDER BY length DESC, start, period) AS length,
+    first(period ORDER BY length DESC, start, period) AS period FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS body FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+    CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM (SELECT doc_id FROM documents) LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document gets a periodic tail first, as the query's definition asks."""
+    found = periodic_runs.find_runs(periodic_runs.with_repeated_tail(_documents(spark, sf_dir)))
+    found = found.withColumn("best", periodic_runs.longest(F.col("runs")))
+    length, period = F.col("best.length"), -F.col("best.minus")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.before")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.expr("1000 * best.length DIV -best.minus").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
