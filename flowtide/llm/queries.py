@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.llm import decontamination, fingerprints, jaccard_join, language, periodic_runs, personal_data, pieces, quality, sharding, token_alignment, token_counts, toxicity
+from flowtide.llm import decontamination, fingerprints, jaccard_join, language, outliers, periodic_runs, personal_data, pieces, quality, sharding, token_alignment, token_counts, toxicity
 from flowtide.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,3 +258,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_token_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_tokens(_documents(spark, sf_dir))
+
+
+@query("op13_quality_rules")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(_documents(spark, sf_dir))
