@@ -33,6 +33,7 @@ from flowtide.operators.scale import small
 BLOCK = 1024
 PLAIN_BITS = 8.0
 LANES = 2_000_000
+TABLE_BYTES = 64 << 20
 SPACE = 1
 
 
@@ -78,8 +79,8 @@ class Automaton:
             count += state == 0
         return count + (state != 0)
 
-    def table(self, width: int) -> np.ndarray:
-        """Dense steps: for (state, symbol) the next state's row offset, times 4, plus the phrases that end."""
+    def dense(self, width: int) -> np.ndarray:
+        """Steps as a full table: for (state, symbol) the next state's row offset, times 4, plus the phrases that end."""
         n = len(self.next)
         root = np.full(width, 2, np.int64)
         for c, t in self.next[0].items():
@@ -87,33 +88,73 @@ class Automaton:
         restart = root.copy()
         restart[root != 2] += 1  # the phrase before ends; with an unknown symbol one more does
         restart[root == 2] = 2
-        out = np.tile(restart, (n, 1))
+        out = np.tile(restart.astype(np.int32), (n, 1))
         out[0] = np.where(root == 2, 1, root)
         for s, edges in enumerate(self.next):
             for c, t in edges.items():
                 out[s, c] = t * width * 4
-        if out.max() > np.iinfo(np.int32).max:
-            raise ValueError("sample too long for 32-bit steps")
-        return out.astype(np.int32).ravel()
+        return out.ravel()
+
+    def hashed(self, width: int) -> dict[str, np.ndarray]:
+        """Steps as an open-addressing table of (state * width + symbol), at most half full, and the root's row."""
+        states = np.repeat(np.arange(len(self.next)), [len(e) for e in self.next])
+        key = states * width + np.fromiter((c for e in self.next for c in e), np.int64, len(states))
+        to = np.fromiter((t for e in self.next for t in e.values()), np.int32, len(states))
+        size = 1 << max(4, (2 * len(key) - 1).bit_length())
+        keys, nexts = np.full(size, -1, np.int64), np.zeros(size, np.int32)
+        slot, open_ = _slot(key, size), np.arange(len(key))
+        while len(open_):
+            free = open_[keys[slot[open_]] < 0]
+            keys[slot[free]] = key[free]  # of several that want one slot the last stays
+            stays = free[keys[slot[free]] == key[free]]
+            nexts[slot[stays]] = to[stays]
+            open_ = np.setdiff1d(open_, stays, assume_unique=True)
+            slot[open_] = (slot[open_] + 1) & (size - 1)
+        root = np.zeros(width, np.int32)
+        for c, t in self.next[0].items():
+            root[c] = t
+        return {"keys": keys, "next": nexts, "root": root}
+
+
+def _slot(key: np.ndarray, size: int) -> np.ndarray:
+    """First place of a key: the high bits of a product that wraps around."""
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 class Model:
-    """Automata of all learnt languages and the alphabet they share."""
+    """Tables of all learnt languages; each has the letters of its own sample as its alphabet.
+
+    A language's table is dense where all such tables fit in TABLE_BYTES together,
+    otherwise its edges are hashed, so thousands of letters cost no more than few.
+    """
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
         letters = sorted({c for texts in samples.values() for t in texts for c in t.lower() if len(c) == 1 and c.isalpha()})
         self.codes = {c: i + 2 for i, c in enumerate(letters)}
-        self.width = len(letters) + 2
         lookup = self.lookup()
-        streams = [np.concatenate([[SPACE], *[np.append(symbols(t, lookup), SPACE) for t in samples[k]]]) for k in self.langs]
-        self.automata = [Automaton(s.tolist()) for s in streams]
-        self.weight = np.array([math.log2(len(s) + 1) for s in streams])
-        self.limits = {k: _limit([symbols(t, lookup) for t in samples[k]]) for k in self.langs}
+        rows = {k: [symbols(t, lookup) for t in samples[k]] for k in self.langs}
+        joint = [np.concatenate([[SPACE], *[np.append(r, SPACE) for r in rows[k]]]).astype(np.int64) for k in self.langs]
+        self.weight = np.array([math.log2(len(s) + 1) for s in joint])
+        self.limits = {k: _limit(rows[k]) for k in self.langs}
+        self.alphabets, self.streams, self.tables = [], [], []
+        for stream in joint:
+            own = np.zeros(len(letters) + 2, np.int32)  # 0: a letter that this language's sample does not have
+            own[np.unique(stream)] = np.arange(1, len(np.unique(stream)) + 1)
+            self.alphabets.append(own)
+            self.streams.append(own[stream])
+            width = int(own.max()) + 1
+            automaton = Automaton(self.streams[-1].tolist())
+            fits = len(automaton.next) * width * 4 <= TABLE_BYTES // len(joint)
+            self.tables.append(automaton.dense(width) if fits else automaton.hashed(width))
+
+    def automaton(self, k: int) -> Automaton:
+        """The automaton behind the k-th table, over its own alphabet."""
+        return Automaton(self.streams[k].tolist())
 
     def lookup(self) -> np.ndarray:
         """Code of every code point: 0 an unlearnt letter, 1 no letter, from 2 the alphabet."""
-        out = np.fromiter((0 if chr(c).isalpha() else SPACE for c in range(0x110000)), np.uint16, 0x110000)
+        out = np.fromiter((0 if chr(c).isalpha() else SPACE for c in range(0x110000)), np.int32, 0x110000)
         for c, code in self.codes.items():
             out[ord(c)] = code
             if len(c.upper()) == 1:
@@ -127,7 +168,7 @@ class Model:
 
     def packed(self) -> dict:
         """What a worker needs, as plain arrays."""
-        return {"langs": self.langs, "width": self.width, "weight": self.weight, "lookup": self.lookup(), "tables": [a.table(self.width) for a in self.automata]}
+        return {"langs": self.langs, "weight": self.weight, "lookup": self.lookup(), "alphabets": self.alphabets, "tables": self.tables}
 
 
 def _limit(rows: list[np.ndarray]) -> float:
@@ -166,22 +207,46 @@ def parse(blocks: list[np.ndarray], packed: dict) -> np.ndarray:
     """Phrases of each block under each language: all blocks advance together, one symbol a step."""
     order = np.argsort([-len(b) for b in blocks], kind="stable")
     lengths = np.array([len(blocks[i]) for i in order])
-    grid = np.zeros((lengths[0], len(blocks)), np.uint16)
+    grid = np.zeros((lengths[0], len(blocks)), np.int32)
     for lane, i in enumerate(order):
         grid[: lengths[lane], lane] = blocks[i]
     out = np.empty((len(packed["langs"]), len(blocks)), np.int64)
     alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-    for k, steps in enumerate(packed["tables"]):
-        state = np.zeros(len(blocks), np.int32)
-        count = np.zeros(len(blocks), np.int32)
-        for t, n in enumerate(alive):
-            found = steps[state[:n] + grid[t, :n]]
-            count[:n] += found & 3
-            state[:n] = found >> 2
-        out[k, order] = count + (state != 0)
+    for k, (own, table) in enumerate(zip(packed["alphabets"], packed["tables"], strict=True)):
+        walk = _walk_hashed if isinstance(table, dict) else _walk_dense
+        out[k, order] = walk(table, own[grid], alive)
     return out
 
 
+def _walk_dense(steps: np.ndarray, grid: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    state, count = np.zeros(grid.shape[1], np.int32), np.zeros(grid.shape[1], np.int32)
+    for t, n in enumerate(alive):
+        found = steps[state[:n] + grid[t, :n]]
+        count[:n] += found & 3
+        state[:n] = found >> 2
+    return count + (state != 0)
+
+
+def _walk_hashed(table: dict[str, np.ndarray], grid: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    keys, nexts, root = table["keys"], table["next"], table["root"]
+    size, width = len(keys), len(root)
+    state, count = np.zeros(grid.shape[1], np.int64), np.zeros(grid.shape[1], np.int64)
+    for t, n in enumerate(alive):
+        key = state[:n] * width + grid[t, :n]
+        slot = _slot(key, size)
+        there = keys[slot]
+        probing = np.flatnonzero((there != key) & (there >= 0))
+        while len(probing):
+            slot[probing] = (slot[probing] + 1) & (size - 1)
+            there[probing] = keys[slot[probing]]
+            probing = probing[(there[probing] != key[probing]) & (there[probing] >= 0)]
+        known = there == key
+        again = root[grid[t, :n]]
+        count[:n] += np.where(known, 0, np.add(state[:n] != 0, again == 0, dtype=np.int64))
+        state[:n] = np.where(known, nexts[slot], again)
+    return count + (state != 0)
+
+
 def _predictor(shared):
     packed = shared.value
     lookup, langs = packed["lookup"], packed["langs"]

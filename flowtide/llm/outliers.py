@@ -53,8 +53,9 @@ BINS = 16  # distance bins per factor e
 GRID = 0.01  # bin width of single statistics for medians and quartiles
 BROADCAST_GROUPS = 20_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-# statistic and the smallest standard deviation it is credited with
-VECTOR = {"words": 0.3, "word_length": 0.05, "symbols": 0.3, "dup_lines": 0.3, "repeats": 0.3, "variety": 0.03, "words_a_line": 0.3, "digits": 0.3}
+# Statistic and the smallest standard deviation it is credited with: shares enter as log(1 + 100 share), and one repeated
+# line or number more or less must not condemn a short text.
+VECTOR = {"words": 0.3, "word_length": 0.05, "symbols": 0.3, "dup_lines": 1.0, "repeats": 1.0, "variety": 0.03, "words_a_line": 0.3, "digits": 0.8}
 
 
 def chi_square(p: float, d: int) -> float:
@@ -182,7 +183,7 @@ def _with_distance(rows: DataFrame, groups: DataFrame, d: int) -> DataFrame:
     for i in range(d):
         for j in range(i, d):
             total = total + z[i] * z[j] * F.get(F.get(F.col("inverse"), i), j) * (1.0 if i == j else 2.0)
-    return joined.withColumn("d2", F.greatest(total, F.lit(0.0)))
+    return joined.withColumn("d2", F.when(total < 0, 0.0).otherwise(total))  # rounding may go below zero
 
 
 def _bin(d2: Column) -> Column:
