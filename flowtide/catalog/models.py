@@ -11,7 +11,7 @@ from flowtide.catalog.behavior import BLOCK, BLOCK_JOINS, IAT, PERIODICITY, SRC_
 from flowtide.catalog.registry import CTU, FLOWS, MARKED, SEED, ctu_text, final, flows, key_sql, query, rnd, split_sql, table
 from flowtide.catalog.rows import marked
 from flowtide.functions.columns import q
-from flowtide.operators import averaging, evaluate, models, rows, sampling
+from flowtide.operators import averaging, boosting, evaluate, models, rows, sampling
 from flowtide.plans import datasets
 from flowtide.session import materialize
 
@@ -65,6 +65,54 @@ def _(spark, sf):
     return final(evaluate.all_metrics(models.predict(model, _test(df))).select(*_METRICS))
 
 
+# A label of several features with noise and ties, and features with missing values.
+NOISY_LABEL = """CAST((CASE WHEN dst_port > 60 AND packets_bwd >= 2 OR src_port < 500 AND packets_bwd = 1 THEN 1 ELSE 0 END
+    + CASE WHEN event_id * 7919 % 13 = 0 THEN 1 ELSE 0 END) % 2 AS INT)"""
+BOOST_BOUNDS = {"dst_port": [10 * i for i in range(1, 10)], "packets_bwd": [1, 2, 3, 4], "src_port": [250 * i for i in range(1, 12)], "bytes_total": [500 * i for i in range(1, 16)]}
+
+
+def _boost_sql(rounds: int, depth: int, step: float, positive: int, reg_lambda: float = 1.0, least: float = 1.0) -> str:
+    """The same boosting level by level: histograms, cumulative sums, best split of each node, leaf values."""
+    n = len(BOOST_BOUNDS)
+    bins = ", ".join(
+        f"CASE WHEN {f} IS NULL THEN -1 ELSE " + " + ".join(f"CAST({f} >= {b} AS INT)" for b in bounds) + f" END AS b{i}" for i, (f, bounds) in enumerate(BOOST_BOUNDS.items())
+    )
+    ctes = [f"m0 AS (SELECT event_id, {NOISY_LABEL} AS y, {bins}, 0::DOUBLE AS margin FROM flows)"]
+    kept = "event_id, y, margin, " + ", ".join(f"b{i}" for i in range(n))
+
+    def part(g: str, h: str) -> str:
+        return f"({g}) * ({g}) / (({h}) + {reg_lambda})"
+
+    for r in range(rounds):
+        ctes.append(f"p{r} AS (SELECT *, 1 / (1 + exp(-margin)) AS p, CASE WHEN y = 1 THEN {positive}::DOUBLE ELSE 1 END AS w FROM m{r})")
+        ctes.append(f"n{r}_0 AS (SELECT {kept}, (p - y) * w AS g, p * (1 - p) * w AS h, 0 AS node FROM p{r})")
+        for level in range(depth):
+            t = f"{r}_{level}"
+            ctes += [
+                f"s{t} AS (SELECT node, f, b, sum(g) AS g, sum(h) AS h FROM (" + " UNION ALL ".join(f"SELECT node, {i} AS f, b{i} AS b, g, h FROM n{t} WHERE node >= {2**level - 1}" for i in range(n)) + ") GROUP BY node, f, b)",
+                f"""c{t} AS (SELECT node, f, b, sum(CASE WHEN b >= 0 THEN g ELSE 0 END) OVER o AS gl, sum(CASE WHEN b >= 0 THEN h ELSE 0 END) OVER o AS hl,
+                sum(g) OVER a AS gt, sum(h) OVER a AS ht, sum(CASE WHEN b < 0 THEN g ELSE 0 END) OVER a AS gm, sum(CASE WHEN b < 0 THEN h ELSE 0 END) OVER a AS hm
+                FROM s{t} WINDOW o AS (PARTITION BY node, f ORDER BY b), a AS (PARTITION BY node, f))""",
+                f"""d{t} AS (SELECT node, f, b, ml, gt, ht, gl + CASE WHEN ml THEN gm ELSE 0 END AS gl, hl + CASE WHEN ml THEN hm ELSE 0 END AS hl
+                FROM c{t}, (SELECT unnest([false, true]) AS ml) WHERE b >= 0)""",
+                f"""e{t} AS (SELECT *, 0.5 * ({part('gl', 'hl')} + {part('gt - gl', 'ht - hl')} - {part('gt', 'ht')}) AS gain FROM d{t} WHERE hl >= {least} AND ht - hl >= {least})""",
+                f"x{t} AS (SELECT * FROM e{t} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, b, ml) = 1)",
+                f"""n{r}_{level + 1} AS (SELECT {kept}, g, h, CASE WHEN x.f IS NULL THEN node WHEN CASE WHEN [b0, b1, b2, b3][x.f + 1] < 0 THEN x.ml ELSE [b0, b1, b2, b3][x.f + 1] <= x.b END
+                THEN 2 * node + 1 ELSE 2 * node + 2 END AS node FROM n{t} LEFT JOIN (SELECT node, f, b, ml FROM x{t}) x USING (node))""",
+            ]
+        ctes.append(f"v{r} AS (SELECT node, -{step} * sum(g) / (sum(h) + {reg_lambda}) AS v FROM n{r}_{depth} GROUP BY node)")
+        ctes.append(f"m{r + 1} AS (SELECT {kept.replace('margin', 'margin + v AS margin')} FROM n{r}_{depth} JOIN v{r} USING (node))")
+    return f"WITH {FLOWS}, {', '.join(ctes)} SELECT event_id, CAST(y AS BIGINT) AS label, round(1 / (1 + exp(-margin)), 6) AS score FROM m{rounds}"
+
+
+@query("j2_second_order_boosting", _boost_sql(3, 3, 0.3, 3))
+def _(spark, sf):
+    """Three trees on given bins; every row's probability."""
+    df = flows(spark, sf).selectExpr("event_id", f"{NOISY_LABEL} AS label", *BOOST_BOUNDS)
+    model = boosting.train(df, list(BOOST_BOUNDS), rounds=3, depth=3, positive_weight=3.0, bounds=BOOST_BOUNDS)
+    return final(model.transform(df).select("event_id", "label", "score"))
+
+
 @query(
     "j3_mlp",
     f"""{RULED_SPLIT} SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, true AS in_range, true AS cut_at_half, true AS cells_add_up, true AS ranks_well
