@@ -232,8 +232,12 @@ def _spine(width_seconds: int) -> Column:
 def hourly_volume(df: DataFrame, ts: str, width_seconds: int = 3600) -> DataFrame:
     """Flows per bin from the first to the last, empty bins as 0."""
     bins = df.where(q(ts).isNotNull()).groupBy(time_bin(q(ts), width_seconds).alias("_bin"))
-    counts = bins.agg(F.count(F.lit(1)).alias("flows"))
-    bounds = df.agg(F.min(time_bin(q(ts), width_seconds)).alias("lo"), F.max(time_bin(q(ts), width_seconds)).alias("hi"))
+    return fill_bins(bins.agg(F.count(F.lit(1)).alias("flows")), width_seconds)
+
+
+def fill_bins(counts: DataFrame, width_seconds: int = 3600) -> DataFrame:
+    """(bin, flows) from counts of the non-empty bins (_bin, flows), the empty ones between first and last as 0."""
+    bounds = counts.agg(F.min("_bin").alias("lo"), F.max("_bin").alias("hi"))
     spine = bounds.where(F.col("lo").isNotNull()).select(_spine(width_seconds).alias("_bin"))
     filled = spine.join(counts, "_bin", "left")
     return filled.select(_bin_time(F.col("_bin")).alias("bin"), F.coalesce("flows", F.lit(0)).alias("flows"))
@@ -243,8 +247,12 @@ def hourly_by_value(df: DataFrame, ts: str, column: str, values: Sequence[Any],
     """One gap-filled series per value, each over its own first to last bin."""
     chosen = df.where(q(ts).isNotNull() & q(column).isin(list(values)))
     binned = chosen.select(q(column), time_bin(q(ts), width_seconds).alias("_bin"))
-    counts = binned.groupBy(q(column), "_bin").agg(F.count(F.lit(1)).alias("flows"))
-    bounds = binned.groupBy(q(column)).agg(F.min("_bin").alias("lo"), F.max("_bin").alias("hi"))
+    return fill_bins_by(binned.groupBy(q(column), "_bin").agg(F.count(F.lit(1)).alias("flows")), column, width_seconds)
+
+
+def fill_bins_by(counts: DataFrame, column: str, width_seconds: int = 3600) -> DataFrame:
+    """(column, bin, flows) from counts of the non-empty bins, each value's series filled between its own first and last bin."""
+    bounds = counts.groupBy(q(column)).agg(F.min("_bin").alias("lo"), F.max("_bin").alias("hi"))
     spine = bounds.select(q(column), _spine(width_seconds).alias("_bin"))
     filled = spine.join(counts, [column, "_bin"], "left")
     return filled.select(q(column), _bin_time(F.col("_bin")).alias("bin"), F.coalesce("flows", F.lit(0)).alias("flows"))
@@ -256,7 +264,11 @@ def hourly_by_top_labels(df: DataFrame, ts: str, label: str, k: int = 5, width_s
 
 def hourly_by_flag(df: DataFrame, ts: str, flag: str, width_seconds: int = 3600) -> DataFrame:
     """Flows per bin for flag 0 and 1 side by side, over the union of both spans."""
-    long = hourly_by_value(df, ts, flag, [0, 1], width_seconds)
+    return flag_columns(hourly_by_value(df, ts, flag, [0, 1], width_seconds), flag)
+
+
+def flag_columns(long: DataFrame, flag: str) -> DataFrame:
+    """The series of flag 0 and 1 side by side."""
     return long.groupBy("bin").agg(
         F.coalesce(F.sum(F.when(q(flag) == 0, F.col("flows"))), F.lit(0)).alias("benign"),
         F.coalesce(F.sum(F.when(q(flag) == 1, F.col("flows"))), F.lit(0)).alias("malicious"),
