@@ -114,16 +114,18 @@ def _(spark, sf):
 
 @query(
     "h6_stratified_group_kfold",
-    f"""WITH c AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2),
-    g AS (SELECT o_custkey, max(n) AS most, sum(n) AS size FROM c GROUP BY 1),
-    r AS (SELECT o_custkey, row_number() OVER (ORDER BY most DESC, size DESC, md5(concat('{{"o_custkey":', o_custkey, '}}:{SEED}'))) - 1 AS r FROM g)
-    SELECT o_orderkey, o_custkey, o_orderstatus, CAST(CASE WHEN r // {K} % 2 = 0 THEN r % {K} ELSE {K - 1} - r % {K} END AS BIGINT) AS fold
-    FROM orders JOIN r USING (o_custkey)""",
+    f"""WITH c AS (SELECT o_custkey, o_orderstatus AS class, count(*) AS n, sum(count(*)) OVER (PARTITION BY o_orderstatus) AS total FROM orders GROUP BY 1, 2),
+    g AS (SELECT o_custkey, class, total, n AS most, sum(n) OVER (PARTITION BY o_custkey) AS size FROM c
+        QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n::DOUBLE / total DESC, total, class) = 1),
+    p AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY most DESC, size DESC, md5(concat('{{"o_custkey":', o_custkey, '}}:{SEED}'))) - 1 AS place FROM g),
+    b AS (SELECT class, CAST(sum(count(*)) OVER (ORDER BY total, class) - count(*) AS BIGINT) % {K} AS first FROM g GROUP BY class, total)
+    SELECT o_orderkey, o_custkey, o_orderstatus,
+        CAST((CASE WHEN place // {K} % 2 = 0 THEN place % {K} ELSE {K - 1} - place % {K} END + first) % {K} AS BIGINT) AS fold
+    FROM orders JOIN p USING (o_custkey) JOIN b USING (class)""",
 )
 def _(spark, sf):
     df = orders(spark, sf).select("o_orderkey", "o_custkey", "o_orderstatus")
-    # The SQL above orders groups without regard to which class is their largest.
-    return final(sampling.stratified_group_kfold(df, K, "o_orderstatus", "o_custkey", SEED, by_class=False))
+    return final(sampling.stratified_group_kfold(df, K, "o_orderstatus", "o_custkey", SEED))
 
 
 @query("h6_group_integrity", "SELECT o_custkey, count(*) AS rows_in_group, 1::BIGINT AS folds FROM orders GROUP BY 1")

@@ -147,25 +147,21 @@ def stratified_kfold(
 
 
 def stratified_group_kfold(
-    df: DataFrame, k: int, label: str, group: str, seed: int, out: str = "fold", by_class: bool = True
+    df: DataFrame, k: int, label: str, group: str, seed: int, out: str = "fold"
 ) -> DataFrame:
     """Adds a fold so that no group spans two; rows without a group form one group.
 
     A group belongs to the class of which it holds the largest share of the table. Class by
     class, rarest first, groups in order of that class's count, then size, then seeded hash
     are dealt to the folds in snake order (0..k-1, then back), each class beginning where the
-    one before left off, so folds get groups of like size and mix. With `by_class` off all
-    groups are one run in order of their largest count, whichever class that is.
+    one before left off, so folds get groups of like size and mix.
     """
     name = F.coalesce(F.to_json(F.struct(q(group))), F.lit("{}"))
     rows = df.withColumn("_group", name)
     per_class = rows.groupBy("_group", F.to_json(F.struct(q(label))).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
-    if by_class:
-        per_class = materialize(per_class, "group-classes")
-        totals = per_class.groupBy("_class").agg(F.sum("_n").alias("_total"))
-        per_class = per_class.join(scale.small(totals), "_class").withColumn("_part", F.col("_n") / F.col("_total"))
-    else:
-        per_class = per_class.select("_group", F.lit("").alias("_class"), F.lit(0).alias("_total"), F.col("_n").alias("_part"), "_n")
+    per_class = materialize(per_class, "group-classes")
+    totals = per_class.groupBy("_class").agg(F.sum("_n").alias("_total"))
+    per_class = per_class.join(scale.small(totals), "_class").withColumn("_part", F.col("_n") / F.col("_total"))
     top = F.min(F.struct((-F.col("_part")).alias("_part"), "_total", "_class", F.col("_n").alias("_most"))).alias("_top")
     groups = per_class.groupBy("_group").agg(top, F.sum("_n").alias("_size"))
     groups = materialize(groups.select("_group", "_size", "_top._class", "_top._total", "_top._most"), "groups")
