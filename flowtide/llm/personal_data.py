@@ -14,8 +14,13 @@ Positions are code points, the end is exclusive. Patterns run in linear time on
 long runs of one character: a match may start only where its run starts, and
 repetitions do not give back.
 
+A text's cost grows with its length and its matches, not with their product:
+positions are running sums taken block by block, places in a text are looked up
+in pieces, and overlaps are found by binary search.
+
 Defined cases: a null or empty text has no span; repeated rows are answered one
-by one; without candidates nothing is learnt and nothing added.
+by one; without candidates nothing is learnt and nothing added; an empty table
+gives no rows; a candidate whose odds are even (0) is added.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowtide.llm.common import free_name
 from flowtide.session import materialize
 
 KINDS = ("email", "ip", "card", "phone", "name")
@@ -63,26 +69,72 @@ _CUES = {
 }
 _COUNTER_CUES = r"(?i)\b(?:version|release|isbn|order|invoice|page|figure|table|section|serial|token|key|hash|id)\b"
 VOTES = 5
+BLOCK = 64
+PIECE = 256
 
 _SPAN = "array<struct<start:int,end:int,kind:int,base:boolean,match:string>>"
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, start: Column, join) -> Column:
+    """For each element what `join` makes of `start` and all elements before it.
+
+    Worked out block by block, then over the blocks, so that appending to arrays costs a bounded part of the length.
+    """
+    none = F.array().cast("array<int>")
+
+    def grown(state: Column, value: Column) -> Column:
+        return F.struct(join(state["at"], value).alias("at"), F.array_append(state["out"], state["at"]).alias("out"))
+
+    def all_before(steps: Column, first: Column, value) -> Column:
+        return F.aggregate(steps, F.struct(first.alias("at"), none.alias("out")), lambda state, i: grown(state, value(i)), lambda state: state["out"])
+
+    def over(v: Column) -> Column:
+        def inside(k: Column) -> Column:
+            return F.sequence(k * BLOCK, F.least(F.size(v), k * BLOCK + BLOCK) - 1)
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+        totals = F.transform(blocks, lambda k: F.aggregate(inside(k), start, lambda t, i: join(t, F.get(v, i))))
+        begins = let(totals, lambda t: all_before(t, start, lambda x: x))
+        parts = let(begins, lambda g: F.transform(blocks, lambda k: all_before(inside(k), F.get(g, k), lambda i: F.get(v, i))))
+        return F.when(F.size(v) > 0, F.flatten(parts)).otherwise(none)
+
+    return let(values, over)
+
+
+def pieces_of(text: Column) -> Column:
+    """The text in pieces of PIECE code points, so that a place in it is found without reading what is before."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points [start, end) of a text in pieces."""
+    first = F.floor(start / PIECE).cast("int")
+    some = F.transform(F.sequence(first, F.greatest(first, F.floor((end - 1) / PIECE).cast("int"))), lambda k: F.get(pieces, k))
+    return F.when(end > start, F.substring(F.array_join(some, ""), start - first * PIECE + 1, end - start)).otherwise("")
+
+
 def _spans(text: Column, pattern: str, kind: int, base: bool, sign: Column, valid) -> Column:
     """Matches with positions: the text between matches gives the distance from one to the next."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match"))  # one gap more than matches
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match"))  # one gap more than matches
+
+    def placed(pairs: Column) -> Column:
+        steps = F.transform(pairs, lambda p: F.char_length(p["gap"]) + F.coalesce(F.char_length(p["match"]), F.lit(0)))
+
+        def span(pair: Column, before: Column) -> Column:
+            start = before + F.char_length(pair["gap"])
+            found = F.struct(start.alias("start"), (start + F.char_length(pair["match"])).alias("end"), F.lit(kind).alias("kind"), F.lit(base).alias("base"), pair["match"].alias("match"))
+            return F.when(pair["match"].isNotNull() & valid(pair["match"]), found)
 
-    def step(state: Column, pair: Column) -> Column:
-        match = pair["match"]
-        start = state["at"] + F.char_length(pair["gap"])
-        end = start + F.coalesce(F.char_length(match), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.lit(base).alias("base"), match.alias("match"))
-        kept = F.when(match.isNotNull() & valid(match), F.array_append(state["out"], span)).otherwise(state["out"])
-        return F.struct(end.alias("at"), kept.alias("out"))
+        at = running(steps, F.lit(0), lambda a, b: a + b)
+        return let(at, lambda before: F.array_compact(F.transform(pairs, lambda p, i: span(p, F.get(before, i)))))
 
-    none = F.array().cast(_SPAN)
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
-    return F.when(sign, found).otherwise(none)
+    return F.when(sign, let(zipped, placed).cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
 def _digits(match: Column) -> Column:
@@ -116,15 +168,15 @@ def _card(match: Column) -> Column:
     return F.when(F.char_length(d).between(12, 19), luhn(d)).otherwise(False)
 
 
-def base_spans(text: Column) -> Column:
-    """The base matches of all kinds."""
+def base_spans(text: Column) -> list[Column]:
+    """The base matches of each kind."""
     always = F.lit(True)
-    return F.concat(
+    return [
         _spans(text, _EMAIL, 0, True, F.contains(text, F.lit("@")), lambda m: always),
         _spans(text, _IP, 1, True, text.rlike(r"[0-9]\.[0-9]"), _small_parts),
         _spans(text, _CARD, 2, True, text.rlike(r"[0-9][\x20-]?[0-9]"), _card),
         _spans(text, _PHONE, 3, True, F.contains(text, F.lit("+")), lambda m: F.char_length(_digits(m)).between(9, 15)),
-    )
+    ]
 
 
 def loose_spans(text: Column) -> Column:
@@ -139,11 +191,11 @@ def _by_kind(span: Column, tables: dict[str, str], value: Column) -> Column:
     return out
 
 
-def _judged(text: Column, span: Column) -> Column:
+def _judged(pieces: Column, span: Column) -> Column:
     """A candidate with the labelers' votes ('1', '0' or '-' each) and its feature values."""
-    before = F.substring(text, F.greatest(span["start"] - 39, F.lit(1)), F.least(span["start"], F.lit(40)))
-    left = F.substring(text, span["start"], F.when(span["start"] > 0, 1).otherwise(0))
-    right = F.substring(text, span["end"] + 1, F.lit(1))
+    before = _cut(pieces, F.greatest(span["start"] - 40, F.lit(0)), span["start"])
+    left = F.substring(before, -1, 1)
+    right = F.coalesce(_cut(pieces, span["end"], span["end"] + 1), F.lit(""))
     n = F.char_length(_digits(span["match"]))
     separated = span["match"].rlike(r"[\x20().@-]")
 
@@ -175,15 +227,37 @@ def _judged(text: Column, span: Column) -> Column:
 
 def candidates(docs: DataFrame, text: str = "text", name: str = "candidates") -> DataFrame:
     """Adds every candidate of each whole text, base spans first; loose ones that overlap a base span are left out."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = docs.withColumn("_text", body).withColumn("_base", base_spans(F.col("_text"))).withColumn("_loose", loose_spans(F.col("_text")))
+    taken = [*docs.columns, name]
+    own = [free_name(n, taken) for n in ("_text", "_base", "_loose", "_spans", "_pieces")]
+    t, base, loose, spans, pieces = (F.col(f"`{n}`") for n in own)
+    out = docs.withColumn(own[0], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    kinds = [free_name(f"_base{k}", taken) for k in range(4)]
+    out = out.select("*", *[c.alias(n) for c, n in zip(base_spans(t), kinds, strict=True)], loose_spans(t).alias(own[2]))
 
     def free(span: Column) -> Column:
-        return ~F.exists("_base", lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+        clear = F.lit(True)
+        for n in kinds:
+            clear = clear & ~_meets(F.col(f"`{n}`"), span)
+        return clear
+
+    out = out.withColumn(own[1], F.concat(*[F.col(f"`{n}`") for n in kinds])).withColumn(own[3], F.filter(loose, free))
+    out = out.withColumn(own[3], F.concat(base, spans)).withColumn(own[4], F.when(F.size(spans) > 0, pieces_of(t)))
+    return out.withColumn(name, F.transform(spans, lambda s: _judged(pieces, s))).drop(*own, *kinds)
+
 
-    spans = F.concat("_base", F.filter("_loose", free))
-    out = out.withColumn("_spans", F.when(F.size("_base") + F.size("_loose") > 0, spans).otherwise(F.array().cast(_SPAN)))
-    return out.withColumn(name, F.transform("_spans", lambda s: _judged(F.col("_text"), s))).drop("_text", "_base", "_loose", "_spans")
+def _meets(spans: Column, other: Column) -> Column:
+    """Whether a span overlaps any of the given ones, which are in order and apart: a binary search for the first that ends behind its start."""
+    n = F.size(spans)
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(n + 1)).cast("int") + 1)
+
+    def halve(state: Column, _: Column) -> Column:
+        mid = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
+        behind = F.get(spans, mid)["end"] > other["start"]
+        closer = F.when(behind, F.struct(state["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct((mid + 1).alias("lo"), state["hi"].alias("hi")))
+        return F.when(state["lo"] < state["hi"], closer).otherwise(state)
+
+    first = F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve, lambda state: state["lo"])
+    return F.when(n == 0, False).otherwise(F.coalesce(F.get(spans, first)["start"] < other["end"], F.lit(False)))
 
 
 def reliabilities(patterns: Sequence[tuple[str, int]], rounds: int = 50, smoothing: float = 1.0) -> tuple[float, list[tuple[float, float]], dict[str, float]]:
@@ -256,9 +330,10 @@ def decide(found: DataFrame, odds: dict[str, float], name: str = "candidates", o
 
 def find_spans(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), out: str = "spans") -> DataFrame:
     """Kept columns plus the spans of every whole text; the candidates are written once and read twice."""
-    found = candidates(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])]), text, "_candidates")
-    found = materialize(found.select(*[F.col(f"`{c}`") for c in keep], "_candidates"), "personal-data")
-    return decide(found, train(found, "_candidates"), "_candidates", out).drop("_candidates")
+    name = free_name("_candidates", [*keep, text, out])
+    found = candidates(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])]), text, name)
+    found = materialize(found.select(*[F.col(f"`{c}`") for c in keep], name), "personal-data")
+    return decide(found, train(found, name), name, out).drop(name)
 
 
 def listed(spans: Column) -> Column:
@@ -271,12 +346,14 @@ def masked(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; overlapping spans become one mark."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        fresh = F.struct(s["end"].alias("at"), F.concat(state["out"], gap, F.get(names, s["kind"])).alias("out"))
-        more = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))
-        return F.when(s["start"] >= state["at"], fresh).otherwise(more)
+    def whole(pieces: Column) -> Column:
+        def part(s: Column, seen: Column) -> Column:
+            """The gap before a span and its mark, if it begins behind all that was seen; nothing otherwise."""
+            return F.when(s["start"] >= seen, F.concat(_cut(pieces, seen, s["start"]), F.get(names, s["kind"]))).otherwise("")
+
+        upto = running(F.transform(spans, lambda s: s["end"]), F.lit(0), F.greatest)
+        marked = let(upto, lambda seen: F.array_join(F.transform(spans, lambda s, i: part(s, F.get(seen, i))), ""))
+        rest = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(marked, _cut(pieces, rest, F.char_length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, let(pieces_of(text), whole)).otherwise(text)

@@ -65,6 +65,42 @@ def test_added_spans_follow_the_labelers_and_masks_cover_them(spark):
     assert rows[60].clean == texts[60]
 
 
+def test_a_hundred_thousand_addresses_in_one_text(spark):
+    import time
+
+    many = " ".join(f"u{i}@ex{i % 7}.com" for i in range(100_000))
+    docs = frame(spark, [many, "(212) 555-0188 or +1 (212) 555-0188 " * 20_000])
+    start = time.monotonic()
+    found = personal_data.find_spans(docs, keep=("doc_id", "text"))
+    rows = {r.doc_id: r for r in found.select("doc_id", F.size("spans").alias("n"), personal_data.masked(F.col("text"), F.col("spans")).alias("clean")).collect()}
+    assert time.monotonic() - start < 60  # about 10 on an idle machine, hours if it grew with the square
+    assert rows[0].n == 100_000 and rows[0].clean == " ".join(["[EMAIL]"] * 100_000)
+    assert rows[1].clean.count("[PHONE]") >= 20_000
+
+
+def test_running_values_and_cuts(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.randint(0, 9) for _ in range(n)], "".join(rng.choice("aé😀\n") for _ in range(700))) for i, n in enumerate([0, 1, 63, 64, 65, 300])]
+    df = spark.createDataFrame(rows, "id int, v array<int>, t string")
+    sums = personal_data.running(F.col("v"), F.lit(0), lambda a, b: a + b)
+    tops = personal_data.running(F.col("v"), F.lit(0), F.greatest)
+    cut = personal_data._cut(personal_data.pieces_of(F.col("t")), F.lit(250), F.lit(520))
+    for r in df.select("id", sums.alias("s"), tops.alias("m"), cut.alias("c")).collect():
+        v = rows[r.id][1]
+        assert r.s == [sum(v[:i]) for i in range(len(v))] and r.m == [max(v[:i], default=0) for i in range(len(v))]
+        assert r.c == rows[r.id][2][250:520]
+
+
+def test_personal_data_on_odd_rows_with_clashing_columns(spark, odd_docs):
+    docs = odd_docs.withColumnRenamed("ids", "_candidates").withColumnRenamed("stats", "_base").withColumnRenamed("node", "_pieces")
+    found = personal_data.find_spans(docs, keep=[c for c in docs.columns if c != "spans"])
+    rows = found.collect()
+    assert len(rows) == docs.count() and {(r._candidates, r._base, r._pieces) for r in rows} == {("i", "t", "n")}
+    for r in rows:
+        assert [(s.start, s.kind, s.end) for s in r.spans if s.base] == base_spans(r.text)
+    assert personal_data.find_spans(docs.limit(0)).count() == 0
+
+
 def test_em_finds_the_reliable_labelers():
     rng = random.Random(1)
     counts = {}
