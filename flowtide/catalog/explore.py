@@ -112,6 +112,12 @@ def _(spark, sf):
     return explore.crosstab_first(flows(spark, sf), "protocol", "label", 10, LABELS)
 
 
+@query("d18_crosstab_pairs", f"WITH {FLOWS} SELECT dst_port, src_ip, count(*) AS count FROM flows WHERE dst_port IS NOT NULL AND src_ip IS NOT NULL GROUP BY 1, 2")
+def _(spark, sf):
+    """A crosstab over columns nobody listed: every pair, whatever their number."""
+    return explore.crosstab(flows(spark, sf), "dst_port", "src_ip")
+
+
 @query(
     "d18_crosstab_top_ports",
     f"""WITH {FLOWS}, top AS (SELECT dst_port AS p FROM flows GROUP BY 1 ORDER BY count(*) DESC, dst_port LIMIT 10)

@@ -153,14 +153,14 @@ def top_n_others(df: DataFrame, column: str, n: int = 10, keep_null: bool = Fals
 
 
 def crosstab(df: DataFrame, a: str, b: str, values: Sequence[Any] | None = None) -> DataFrame:
-    """Counts of a (rows) by b (columns), absent pairs as 0; without `values`, the 50 most frequent values of b."""
+    """Counts of a by b. With `values` one column each, absent pairs as 0; without, all pairs that occur as rows (a, b, count)."""
     both = df.where(q(a).isNotNull() & q(b).isNotNull())
     if values is None:
-        values = sorted(row_ops.top_values(both, b, 50))
+        return both.groupBy(q(a), q(b)).agg(F.count(F.lit(1)).alias("count"))
     return both.groupBy(q(a)).pivot(b, list(values)).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def crosstab_first(df: DataFrame, a: str, b: str, rows: int = 10, values: Sequence[Any] | None = None) -> DataFrame:
+def crosstab_first(df: DataFrame, a: str, b: str, rows: int, values: Sequence[Any]) -> DataFrame:
     return crosstab(df, a, b, values).orderBy(q(a)).limit(rows)
 
 

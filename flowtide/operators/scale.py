@@ -82,7 +82,8 @@ def left_join_stats(
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | q(key).isNull()
-    spread = F.pmod(F.xxhash64(*[q(c) for c in df.columns]), F.lit(salts)).cast("int")
+    # copies of one row must not share a salt; the joined rows do not depend on it, so a retry may deal anew
+    spread = F.floor(F.rand(seed=salts) * salts).cast("int")
     if hot is None:
         left = df.withColumn("_salt", F.when(no_key, spread).otherwise(0))
         right = stats.withColumn("_salt", F.lit(0))
