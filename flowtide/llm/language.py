@@ -79,41 +79,48 @@ class Automaton:
             count += state == 0
         return count + (state != 0)
 
-    def dense(self, width: int) -> np.ndarray:
-        """Steps as a full table: for (state, symbol) the next state's row offset, times 4, plus the phrases that end."""
-        n = len(self.next)
-        root = np.full(width, 2, np.int64)
-        for c, t in self.next[0].items():
-            root[c] = t * width * 4
-        restart = root.copy()
-        restart[root != 2] += 1  # the phrase before ends; with an unknown symbol one more does
-        restart[root == 2] = 2
-        out = np.tile(restart.astype(np.int32), (n, 1))
-        out[0] = np.where(root == 2, 1, root)
-        for s, edges in enumerate(self.next):
-            for c, t in edges.items():
-                out[s, c] = t * width * 4
-        return out.ravel()
-
-    def hashed(self, width: int) -> dict[str, np.ndarray]:
-        """Steps as an open-addressing table of (state * width + symbol), at most half full, and the root's row."""
-        states = np.repeat(np.arange(len(self.next)), [len(e) for e in self.next])
-        key = states * width + np.fromiter((c for e in self.next for c in e), np.int64, len(states))
-        to = np.fromiter((t for e in self.next for t in e.values()), np.int32, len(states))
-        size = 1 << max(4, (2 * len(key) - 1).bit_length())
-        keys, nexts = np.full(size, -1, np.int64), np.zeros(size, np.int32)
-        slot, open_ = _slot(key, size), np.arange(len(key))
-        while len(open_):
-            free = open_[keys[slot[open_]] < 0]
-            keys[slot[free]] = key[free]  # of several that want one slot the last stays
-            stays = free[keys[slot[free]] == key[free]]
-            nexts[slot[stays]] = to[stays]
-            open_ = np.setdiff1d(open_, stays, assume_unique=True)
-            slot[open_] = (slot[open_] + 1) & (size - 1)
-        root = np.zeros(width, np.int32)
-        for c, t in self.next[0].items():
-            root[c] = t
-        return {"keys": keys, "next": nexts, "root": root}
+    def edges(self) -> dict[str, np.ndarray]:
+        """All steps as arrays, in order of state."""
+        n = [len(e) for e in self.next]
+        return {
+            "state": np.repeat(np.arange(len(n), dtype=np.int32), n),
+            "symbol": np.fromiter((c for e in self.next for c in e), np.int32, sum(n)),
+            "next": np.fromiter((t for e in self.next for t in e.values()), np.int32, sum(n)),
+        }
+
+
+def _root(edges: dict[str, np.ndarray], width: int) -> np.ndarray:
+    """Next state of every symbol from the root, 0 for none."""
+    root, first = np.zeros(width, np.int32), edges["state"] == 0
+    root[edges["symbol"][first]] = edges["next"][first]
+    return root
+
+
+def dense(edges: dict[str, np.ndarray], states: int, width: int) -> np.ndarray:
+    """Steps as a full table: for (state, symbol) the next state's row offset, times 4, plus the phrases that end."""
+    root = _root(edges, width)
+    # where the walk starts anew the phrase before ends; with an unknown symbol one more does
+    restart = np.where(root > 0, root * (4 * width) + 1, 2).astype(np.int32)
+    out = np.tile(restart, (states, 1))
+    out[0] = np.where(root > 0, root * (4 * width), 1)
+    out[edges["state"], edges["symbol"]] = edges["next"] * (4 * width)
+    return out.ravel()
+
+
+def hashed(edges: dict[str, np.ndarray], width: int) -> dict[str, np.ndarray]:
+    """Steps as an open-addressing table of (state * width + symbol), at most half full, and the root's row."""
+    key = edges["state"].astype(np.int64) * width + edges["symbol"]
+    size = 1 << max(4, (2 * len(key) - 1).bit_length())
+    keys, nexts = np.full(size, -1, np.int64), np.zeros(size, np.int32)
+    slot, open_ = _slot(key, size), np.arange(len(key))
+    while len(open_):
+        free = open_[keys[slot[open_]] < 0]
+        keys[slot[free]] = key[free]  # of several that want one slot the last stays
+        stays = free[keys[slot[free]] == key[free]]
+        nexts[slot[stays]] = edges["next"][stays]
+        open_ = np.setdiff1d(open_, stays, assume_unique=True)
+        slot[open_] = (slot[open_] + 1) & (size - 1)
+    return {"keys": keys, "next": nexts, "root": _root(edges, width)}
 
 
 def _slot(key: np.ndarray, size: int) -> np.ndarray:
@@ -122,10 +129,9 @@ def _slot(key: np.ndarray, size: int) -> np.ndarray:
 
 
 class Model:
-    """Tables of all learnt languages; each has the letters of its own sample as its alphabet.
+    """Automata of all learnt languages; each has the letters of its own sample as its alphabet.
 
-    A language's table is dense where all such tables fit in TABLE_BYTES together,
-    otherwise its edges are hashed, so thousands of letters cost no more than few.
+    Only their edges are broadcast; a worker makes tables of them (`tables`).
     """
 
     def __init__(self, samples: dict[str, list[str]]):
@@ -137,29 +143,20 @@ class Model:
         joint = [np.concatenate([[SPACE], *[np.append(r, SPACE) for r in rows[k]]]).astype(np.int64) for k in self.langs]
         self.weight = np.array([math.log2(len(s) + 1) for s in joint])
         self.limits = {k: _limit(rows[k]) for k in self.langs}
-        self.alphabets, self.streams, self.tables = [], [], []
+        self.alphabets, self.streams, self.edges = [], [], []
         for stream in joint:
             own = np.zeros(len(letters) + 2, np.int32)  # 0: a letter that this language's sample does not have
             own[np.unique(stream)] = np.arange(1, len(np.unique(stream)) + 1)
             self.alphabets.append(own)
             self.streams.append(own[stream])
-            width = int(own.max()) + 1
-            automaton = Automaton(self.streams[-1].tolist())
-            fits = len(automaton.next) * width * 4 <= TABLE_BYTES // len(joint)
-            self.tables.append(automaton.dense(width) if fits else automaton.hashed(width))
+            self.edges.append(Automaton(self.streams[-1].tolist()).edges())
 
     def automaton(self, k: int) -> Automaton:
         """The automaton behind the k-th table, over its own alphabet."""
         return Automaton(self.streams[k].tolist())
 
     def lookup(self) -> np.ndarray:
-        """Code of every code point: 0 an unlearnt letter, 1 no letter, from 2 the alphabet."""
-        out = np.fromiter((0 if chr(c).isalpha() else SPACE for c in range(0x110000)), np.int32, 0x110000)
-        for c, code in self.codes.items():
-            out[ord(c)] = code
-            if len(c.upper()) == 1:
-                out[ord(c.upper())] = code
-        return out
+        return lookup_of(self.codes)
 
     def limit(self, lang: str = "lang_pred") -> Column:
         """Bits per symbol above which a text counts as none of the row's language."""
@@ -168,7 +165,40 @@ class Model:
 
     def packed(self) -> dict:
         """What a worker needs, as plain arrays."""
-        return {"langs": self.langs, "weight": self.weight, "lookup": self.lookup(), "alphabets": self.alphabets, "tables": self.tables}
+        return {"langs": self.langs, "weight": self.weight, "codes": self.codes, "alphabets": self.alphabets, "edges": self.edges}
+
+
+def lookup_of(codes: dict[str, int]) -> np.ndarray:
+    """Code of every code point: 0 an unlearnt letter, 1 no letter, from 2 the alphabet."""
+    out = np.fromiter((0 if chr(c).isalpha() else SPACE for c in range(0x110000)), np.int32, 0x110000)
+    for c, code in codes.items():
+        out[ord(c)] = code
+        if len(c.upper()) == 1:
+            out[ord(c.upper())] = code
+    return out
+
+
+def tables(packed: dict) -> dict:
+    """A worker's tables: dense where those of all languages fit in TABLE_BYTES together, otherwise hashed.
+
+    So thousands of letters cost no more than few.
+    """
+    made = []
+    for own, edges in zip(packed["alphabets"], packed["edges"], strict=True):
+        states, width = int(edges["next"].max(initial=0)) + 1, int(own.max()) + 1
+        fits = states * width * 4 <= TABLE_BYTES // len(packed["edges"])
+        made.append(dense(edges, states, width) if fits else hashed(edges, width))
+    return {**packed, "lookup": lookup_of(packed["codes"]), "tables": made}
+
+
+_built: list[tuple[dict, dict]] = []
+
+
+def _worker(packed: dict) -> dict:
+    """The tables of a broadcast model, kept for the worker's later tasks."""
+    if not _built or _built[0][0] is not packed:
+        _built[:] = [(packed, tables(packed))]
+    return _built[0][1]
 
 
 def _limit(rows: list[np.ndarray]) -> float:
@@ -248,7 +278,7 @@ def _walk_hashed(table: dict[str, np.ndarray], grid: np.ndarray, alive: np.ndarr
 
 
 def _predictor(shared):
-    packed = shared.value
+    packed = _worker(shared.value)
     lookup, langs = packed["lookup"], packed["langs"]
 
     def flush(blocks, owners, sizes, bits):

@@ -148,11 +148,11 @@ def test_toxicity_without_labels_gives_the_base_rate(spark, odd_docs):
 def test_array_parse_equals_the_automaton():
     rng = random.Random(3)
     model = language.Model({"aa": [prose(rng, 300)], "bb": [prose(rng, 200)[::-1]]})
-    packed = model.packed()
+    packed = language.tables(model.packed())
     texts = [prose(rng, 60), "zzz qqq", "an", "ANÉ the"]
     blocks = [language.symbols(t, packed["lookup"]) for t in texts]
     dense = language.parse(blocks, packed)
-    hashed = [model.automaton(k).hashed(int(own.max()) + 1) for k, own in enumerate(model.alphabets)]
+    hashed = [language.hashed(e, int(own.max()) + 1) for e, own in zip(model.edges, model.alphabets)]
     for got in (dense, language.parse(blocks, {**packed, "tables": hashed})):
         for k, own in enumerate(model.alphabets):
             assert got[k].tolist() == [model.automaton(k).phrases(own[b].tolist()) for b in blocks]
@@ -162,10 +162,10 @@ def test_thousands_of_letters_in_six_languages_stay_small():
     rng = random.Random(13)
     samples = {f"l{k}": [many_signs(rng, [[c] for c in range(1334)], 30_000, 0x4E00 + 1334 * k)] for k in range(6)}
     model = language.Model(samples)
-    assert len(model.codes) > 7_900 and all(isinstance(t, dict) for t in model.tables)
-    held = sum(a.nbytes for t in model.tables for a in t.values()) + sum(a.nbytes for a in model.alphabets)
+    assert len(model.codes) > 7_900 and all(isinstance(t, dict) for t in language.tables(model.packed())["tables"])
+    held = sum(a.nbytes for t in language.tables(model.packed())["tables"] for a in t.values()) + sum(a.nbytes for a in model.alphabets)
     assert held < 300 << 20
-    packed = model.packed()
+    packed = language.tables(model.packed())
     for k in range(6):
         text = samples[f"l{k}"][0][100:400]
         cost = [p * w for p, w in zip(language.parse([language.symbols(text, packed["lookup"])], packed)[:, 0], model.weight)]
