@@ -9,7 +9,7 @@ from flowtide.catalog.evaluation import FOLD_SQL, fold_table
 from flowtide.catalog.registry import CTU_TEXT, FLOWS, MARKED, SEED, ctu_text, final, flows, query, rnd, table
 from flowtide.catalog.rows import marked
 from flowtide.functions.columns import q
-from flowtide.operators import behavior, explore
+from flowtide.operators import behavior, explore, sampling
 from flowtide.session import scratch_path
 from flowtide.sources import files, schema
 
@@ -135,6 +135,13 @@ def _(spark, sf):
     return final(files.source_row_count(table(spark, sf, "orders"), 2000))
 
 
+@query("a8_sample_with_source_count", "SELECT count(*) AS source_rows, least(2000, count(*)) AS sampled_rows FROM orders")
+def _(spark, sf):
+    """The source's rows are counted by the pass that draws the sample."""
+    sample, rows = sampling.sample_and_count(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), 2000, ["o_orderkey"], SEED)
+    return sample.agg(F.lit(rows).cast("bigint").alias("source_rows"), F.count(F.lit(1)).alias("sampled_rows"))
+
+
 @query("a9_verify_written", "SELECT count(*) AS written_rows, count(*) AS expected_rows, true AS matches FROM customer")
 def _(spark, sf):
     df = table(spark, sf, "customer")

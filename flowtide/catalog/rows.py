@@ -25,6 +25,7 @@ from flowtide.functions import columns as c
 from flowtide.functions.columns import q
 from flowtide.operators import explore, rows
 from flowtide.plans import datasets
+from flowtide.session import materialize
 
 TIME_SQL = "try_strptime(StartTime, '%Y/%m/%d %H:%M:%S.%f')"
 
@@ -386,3 +387,14 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return explore.missing_counts(flows(spark, sf))
+
+
+@query(
+    "b6_drop_invalid_time_counted",
+    f"WITH {CTU_TEXT} SELECT count(*) FILTER ({TIME_SQL} IS NULL) AS dropped_rows, count(*) FILTER ({TIME_SQL} IS NOT NULL) AS rows_after_cleaning FROM ctu_text",
+)
+def _(spark, sf):
+    """Dropped rows are counted by the pass that writes the others."""
+    t = ctu_text(spark, sf).select(c.parse_timestamp(q("StartTime"), c.CTU_TIME_FORMAT).alias("StartTime"))
+    kept, dropped = rows.drop_invalid_time_counted(t, "StartTime", lambda df: materialize(df, "timed"))
+    return kept.agg(F.lit(dropped).cast("bigint").alias("dropped_rows"), F.count(F.lit(1)).alias("rows_after_cleaning"))

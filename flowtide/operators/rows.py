@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,16 @@ def drop_invalid_time(df: DataFrame, ts: str) -> DataFrame:
     return df.where(q(ts).isNotNull())
 
 
+def drop_invalid_time_counted(df: DataFrame, ts: str, write: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
+    """What `write` makes of the rows with a time, and how many rows without one it did not get, counted in the same pass."""
+    if df.isEmpty():  # an empty relation may be planned away, and the observation with it
+        return write(df), 0
+    watch = Observation()
+    seen = df.observe(watch, F.count_if(q(ts).isNull()).alias("dropped"))
+    written = write(drop_invalid_time(seen, ts))
+    return written, watch.get["dropped"]
+
+
 def count_invalid_time(df: DataFrame, ts: str) -> DataFrame:
     """How many rows `drop_invalid_time` removes, and how many stay."""
     return df.agg(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from flowtide.functions.columns import micros, q
@@ -27,14 +27,20 @@ def shuffle(df: DataFrame, id_cols: Sequence[str] | None, seed: int, out: str =
 
 
 def sample_exact(df: DataFrame, n: int, id_cols: Sequence[str] | None, seed: int) -> DataFrame:
-    """Uniform sample without replacement of exactly min(n, rows) rows."""
-    total = df.count()
-    if n >= total:
-        return df
+    """Uniform sample without replacement of exactly min(n, rows) rows; the table's size need not be known."""
     plan = df.sparkSession.createDataFrame([("sample", 0, int(n))], "part string, start bigint, stop bigint")
     return scale.assign_parts(df, plan, [], id_cols, seed, "_part").drop("_part")
 
 
+def sample_and_count(df: DataFrame, n: int, id_cols: Sequence[str] | None, seed: int) -> tuple[DataFrame, int]:
+    """`sample_exact` and the table's row count, observed in the pass that looks for the cut."""
+    if df.isEmpty():  # an empty relation may be planned away, and the observation with it
+        return df, 0
+    watch = Observation()
+    sample = sample_exact(df.observe(watch, F.count(F.lit(1)).alias("rows")), n, id_cols, seed)
+    return sample, watch.get["rows"]
+
+
 def stratified_limits(n: int, total: int, positives: int, min_ratio: float) -> tuple[int, int]:
     """(positive, negative) sample sizes: natural share or `min_ratio`, whichever is more, as far as rows reach."""
     ratio = max(positives / total, min_ratio)

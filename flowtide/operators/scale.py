@@ -24,6 +24,7 @@ BROADCAST_ROWS = 200_000
 SALTS = 64
 MIN_PIECES = 1_000
 KEY_CELL_ROWS = 100_000
+MIN_DIGITS = 4
 COPY_BLOCK = 1_000_000
 
 
@@ -325,7 +326,8 @@ def assign_parts(
     )
     ranges, few = pin(ranges)
     longest = ranges.agg(F.max("_to")).first()[0] or 0
-    cuts = _key_cuts(rows, F.broadcast(ranges) if few else ranges, prefix_digits(longest))
+    # ranks of a sample say little about the table's size: at least MIN_DIGITS digits keep cells small for any
+    cuts = _key_cuts(rows, F.broadcast(ranges) if few else ranges, max(MIN_DIGITS, prefix_digits(longest)))
     lookup = cuts.groupBy("_stratum").agg(
         F.sort_array(F.collect_list(F.struct("_upper", "_to", "_part"))).alias("_cuts")
     )
@@ -352,11 +354,13 @@ def _key_cuts(rows: DataFrame, ranges: DataFrame, digits: int) -> DataFrame:
         slim.groupBy("_stratum", "_prefix")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.sum("_n").over(in_order) - F.col("_n"))
+        .withColumn("_all", F.sum("_n").over(Window.partitionBy("_stratum")))
     )
-    last = F.col("_to") - 1
+    # a range that reaches beyond the stratum ends with its last row
+    last = F.least("_to", "_all") - 1
     wanted = pinned(
         cells.join(ranges, "_stratum")
-        .where((last >= F.col("_before")) & (last < F.col("_before") + F.col("_n")))
+        .where((F.col("_from") < F.col("_all")) & (last >= F.col("_before")) & (last < F.col("_before") + F.col("_n")))
         .drop("_n")
     )
     at = ["_stratum", "_prefix"]

@@ -57,3 +57,30 @@ def test_no_python_in_the_data_path(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))
     assert "Python" not in text and "Pandas" not in text
     assert text.count("Exchange") <= {"b3_parse_port": 0, "b14_temporal_features": 0}.get(name, 12)
+
+
+def test_counts_are_observed_in_the_pass_that_samples(spark):
+    orders = table(spark, SF_DIR, "orders").select("o_orderkey", "o_orderstatus")
+    total = orders.count()
+
+    def jobs(run):
+        group = f"jobs-{run.__name__}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    def counted():
+        return sampling.sample_and_count(orders, 300, ["o_orderkey"], 1)
+
+    def plain():
+        return sampling.sample_exact(orders, 300, ["o_orderkey"], 1)
+
+    (sample, rows_read), with_count = jobs(counted)
+    same, without = jobs(plain)
+    assert rows_read == total and with_count <= without + 1  # one look whether there is a first row
+    assert sorted(sample.collect()) == sorted(same.collect()) and sample.count() == 300
+    whole, n = sampling.sample_and_count(orders, total + 5, ["o_orderkey"], 1)
+    assert whole.count() == n == total
+    assert sampling.sample_and_count(orders.limit(0), 5, ["o_orderkey"], 1)[0].count() == 0
