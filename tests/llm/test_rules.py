@@ -324,6 +324,22 @@ def test_shards_are_even_and_keep_the_mixture(spark):
     assert sharding.interleave(docs.limit(0)).count() == 0
 
 
+def test_half_the_rows_without_id_and_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_CELLS", 3)
+    rng = random.Random(14)
+    rows = [(i if i % 2 else None, prose(rng, 5), rng.choice([None, "a", "a", "b"])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed = sharding.interleave(docs, cell_rows=7).collect()
+    assert len(placed) == 600 and len({(r.shard, r.slot) for r in placed}) == 600
+    for source in (None, "a", "b"):
+        per = [sum(r.shard == s and r.source == source for r in placed) for s in range(16)]
+        assert max(per) - min(per) <= 2
+    sizes = [[r.slot for r in placed if r.shard == s] for s in range(16)]
+    assert all(sorted(x) == list(range(len(x))) for x in sizes) and max(map(len, sizes)) - min(map(len, sizes)) <= 1
+    keys = docs.where("doc_id IS NULL").select(sharding.shuffle_key("doc_id", "text", 42)).distinct().count()
+    assert keys == docs.where("doc_id IS NULL").select("text").distinct().count()
+
+
 # pieces
 
 @pytest.fixture(scope="module")
