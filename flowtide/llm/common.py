@@ -25,6 +25,21 @@ def unit_hash(*columns: str, seed: int = 0) -> Column:
     return (F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
 
 
+_kept: list = []
+
+
+def kept(source, build: Callable):
+    """What `build` makes of a broadcast value, kept in this worker process for later tasks with the same value.
+
+    A worker keeps one such thing at a time, whatever operator it belongs to, so stages that
+    follow each other in reused workers do not add up their tables.
+    """
+    if not _kept or _kept[0][0] is not source:
+        _kept.clear()
+        _kept.append((source, build(source)))
+    return _kept[0][1]
+
+
 def free_name(name: str, taken: Sequence[str]) -> str:
     """`name`, lengthened until no taken column has it (Spark compares names without case)."""
     lowered = {c.lower() for c in taken}

@@ -25,7 +25,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import map_text
+from flowtide.llm.common import kept, map_text
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 13
@@ -168,17 +168,9 @@ def _scan(docs: DataFrame, shared, fields: str, keep: list[str], text: str, carr
     return merged.withColumn(f"{prefix}n_hit", covered_words).drop(*[f"_was_{c}" for c in carried])
 
 
-_built: dict[int, tuple[dict, WuManber]] = {}
-
-
 def _scanner(shared):
     """The tables are built once per worker process and broadcast."""
-    windows_by_words = shared.value
-    key = id(windows_by_words)
-    if key not in _built or _built[key][0] is not windows_by_words:
-        _built.clear()
-        _built[key] = (windows_by_words, WuManber(windows_by_words))
-    matcher = _built[key][1]
+    matcher = kept(shared.value, WuManber)
 
     def work(texts: list[str | None]) -> list[list]:
         out: list[list] = [[], [], [], []]

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import map_text, unit_hash
+from flowtide.llm.common import kept, map_text, unit_hash
 from flowtide.operators.scale import small
 
 BLOCK = 1024
@@ -191,16 +191,6 @@ def tables(packed: dict) -> dict:
     return {**packed, "lookup": lookup_of(packed["codes"]), "tables": made}
 
 
-_built: list[tuple[dict, dict]] = []
-
-
-def _worker(packed: dict) -> dict:
-    """The tables of a broadcast model, kept for the worker's later tasks."""
-    if not _built or _built[0][0] is not packed:
-        _built[:] = [(packed, tables(packed))]
-    return _built[0][1]
-
-
 def _limit(rows: list[np.ndarray]) -> float:
     """The limit of a language, from its labelled rows: every second one is parsed by the others.
 
@@ -278,7 +268,7 @@ def _walk_hashed(table: dict[str, np.ndarray], grid: np.ndarray, alive: np.ndarr
 
 
 def _predictor(shared):
-    packed = _worker(shared.value)
+    packed = kept(shared.value, tables)
     lookup, langs = packed["lookup"], packed["langs"]
 
     def flush(blocks, owners, sizes, bits):

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import map_text
+from flowtide.llm.common import kept, map_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -223,14 +223,9 @@ def id_lists(flats: Sequence[bytes | None]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, values)
 
 
-_codecs: list[tuple[Vocabulary, Codec]] = []
-
-
 def codec(vocabulary: Vocabulary) -> Codec:
     """The codec of a broadcast vocabulary, kept for the worker's later tasks."""
-    if not _codecs or _codecs[0][0] is not vocabulary:
-        _codecs[:] = [(vocabulary, Codec(vocabulary))]
-    return _codecs[0][1]
+    return kept(vocabulary, Codec)
 
 
 def ids_digest(flat: bytes) -> str:
@@ -286,8 +281,8 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep
 def decode(encoded: DataFrame, vocabulary: Vocabulary, keep: Sequence[str] = ("doc_id",), name: str = "text") -> DataFrame:
     """Kept columns plus the text spelled by `ids`."""
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
-    kept = [c for c in keep if c != name]
-    source = encoded.select(*[F.col(f"`{c}`") for c in kept], F.col("ids").alias("_ids"))
+    names = [c for c in keep if c != name]
+    source = encoded.select(*[F.col(f"`{c}`") for c in names], F.col("ids").alias("_ids"))
     schema = source.drop("_ids").schema.add(name, "string")
 
     def run(batches):
@@ -296,6 +291,6 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, keep: Sequence[str] = ("d
             for start in range(0, whole.num_rows, 64):
                 batch = whole.slice(start, 64)
                 texts = [None if v is None else worker.decode(v) for v in batch.column("_ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string())], names=[*kept, name])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(texts, pa.string())], names=[*names, name])
 
     return source.mapInArrow(run, schema)

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from flowtide.llm.common import kept as _shared_once
 from flowtide.llm.token_counts import PATTERN
 from flowtide.session import materialize
 
@@ -284,16 +285,6 @@ def contributions(pairs: bytes, postings: bytes, key: np.ndarray, count: np.ndar
     return _pack(docs, top[docs], total[docs])
 
 
-_workers: list[tuple[tuple, Pair]] = []
-
-
-def worker(files: tuple[bytes, bytes]) -> Pair:
-    """The tokenizers of broadcast files, kept for the worker's later tasks."""
-    if not _workers or _workers[0][0] is not files:
-        _workers[:] = [(files, Pair(*files))]
-    return _workers[0][1]
-
-
 def _encode(docs: DataFrame, files, text: str, kept: list[str], parts: int, run_records: int, groups: bool) -> DataFrame:
     """Rows of documents (run, nth, counts) and rows of runs (run, part, pairs, postings) in one table."""
     shared = docs.sparkSession.sparkContext.broadcast(files)
@@ -307,7 +298,7 @@ def _encode(docs: DataFrame, files, text: str, kept: list[str], parts: int, run_
     shift = RUN_DOCS.bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = worker(shared.value)
+        pair = _shared_once(shared.value, lambda files: Pair(*files))
         number, nth, held, codes = TaskContext.get().partitionId() << 32, 0, 0, []
 
         def table(n: int, **columns) -> pa.RecordBatch:
