@@ -48,6 +48,21 @@ def free_name(name: str, taken: Sequence[str]) -> str:
     return name
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sends rows to Python workers in batches of about `BATCH_BYTES`, unless the session has a lower bound.
+
+    Each running task holds a batch several times over, in the executor and in its worker;
+    whole texts reach Spark's default of 64 MB long before its 10,000 rows. Results do not depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def map_text(
     docs: DataFrame,
     build: Callable[[], Callable[[list[str | None]], list[Sequence]]],
@@ -64,6 +79,7 @@ def map_text(
     Kept columns pass through untouched; a kept column named like a field is
     replaced by the field. A text that is kept too is sent once.
     """
+    bound_batches(docs.sparkSession)
     added = T._parse_datatype_string(fields)
     names = {f.name for f in added}
     kept = [c for c in keep if c not in names]

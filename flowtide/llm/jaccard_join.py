@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import map_text
+from flowtide.llm.common import bound_batches, map_text
 from flowtide.operators.scale import small
 from flowtide.session import materialize
 
@@ -179,6 +179,7 @@ def document_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _index(docs: DataFrame, text: str) -> DataFrame:
     """(signature, node) rows; a node that comes again in the same task is left out."""
+    bound_batches(docs.sparkSession)
     schema = pa.schema([("sig", pa.int64()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
