@@ -22,9 +22,15 @@ from flowtide.operators import evaluate, explore, rows, scale
 def random_forest(train: DataFrame, label: str = "label", trees: int = 100, depth: int = 30, seed: int = 42) -> Model:
     """Forest with balanced class weights on a `features` vector; depth 30 is the largest there is."""
     weighted = explore.class_weights(train, label, "balanced")
-    return RandomForestClassifier(
+    forest = RandomForestClassifier(
         labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed
-    ).fit(weighted)
+    )
+    return without_summary(forest.fit(weighted))
+
+
+def without_summary(model: Model) -> Model:
+    """The model alone: its training summary holds the session, which tasks cannot take once rows have been observed in it."""
+    return model.copy()
 
 
 def boosted_trees(

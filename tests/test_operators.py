@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from flowtide.functions import columns as c
@@ -342,6 +343,15 @@ def test_models_learn_and_guard(spark, clients):
     assert models.reconstruction_error(detector, table).agg(F.max("error")).first()[0] == pytest.approx(0, abs=1e-9)
 
 
+def test_models_score_after_rows_were_observed(spark):
+    """The session that has observed rows cannot be sent to tasks; a model must not hold it."""
+    seen = Observation()
+    df = rows.assemble(spark.range(60).selectExpr("CAST(id % 2 AS INT) AS label", "CAST(id % 2 AS DOUBLE) AS a", "CAST(id % 7 AS DOUBLE) AS b"), ["a", "b"])
+    assert df.observe(seen, F.count(F.lit(1)).alias("n")).count() == seen.get["n"] == 60
+    for model in (models.random_forest(df, trees=3, depth=3), models.boosted_trees(df, rounds=2, depth=2), models.mlp(df, 2, hidden=(3,), iterations=40)):
+        assert one(evaluate.all_metrics(models.predict(model, df)))["accuracy"] == 1
+
+
 def test_fit_ignores_test_rows(spark):
     """Statistics joined to train rows stay the same when only test rows change."""
     raw = [(i, f"s{i % 3}", f"d{i % 2}", i) for i in range(60)]
