@@ -5,18 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Model, Pipeline
-from pyspark.ml.classification import (
-    GBTClassifier,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.functions.columns import q
-from flowtide.operators import evaluate, explore, rows, scale
+from flowtide.operators import evaluate, explore, perceptron, rows, scale
 
 
 def random_forest(train: DataFrame, label: str = "label", trees: int = 100, depth: int = 30, seed: int = 42) -> Model:
@@ -89,10 +85,8 @@ def mlp(
     iterations: int = 100,
     seed: int = 42,
 ) -> Model:
-    """Feed-forward network with the given hidden layers and two outputs."""
-    return MultilayerPerceptronClassifier(
-        labelCol=label, featuresCol="features", layers=[features, *hidden, 2], maxIter=iterations, seed=seed
-    ).fit(train)
+    """Feed-forward network with the given hidden layers and two outputs, trained on all rows at each step."""
+    return perceptron.train(train, [features, *hidden, 2], label, iterations=iterations, seed=seed)
 
 
 def predict(model: Model | None, df: DataFrame, score: str = "score") -> DataFrame:
