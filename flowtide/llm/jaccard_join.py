@@ -34,6 +34,7 @@ ignored. Sets are told apart by 64-bit content hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,7 @@ SHINGLE = 5
 HOT_NODES = 64
 CHUNK_NODES = 500
 STAR_ROUNDS = 3
+PAIRS_AT_ONCE = 10_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _POWERS = np.ones(1, np.uint64)
@@ -310,7 +312,7 @@ def _within(rows: DataFrame) -> DataFrame:
             for sig, node, label in zip(*[batch.column(c).to_pylist() for c in ("sig", "node", "label")], strict=True):
                 if sig != last:
                     last, group = sig, []
-                    if len(ready) > 100_000:
+                    if len(ready) > PAIRS_AT_ONCE:
                         yield out()
                 ready.update((other, node) for other, home in group if home != label)  # nodes come in order
                 group.append((node, label))
@@ -330,10 +332,9 @@ def _across(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     """
 
     def pairs(sig: int, group: list[tuple]) -> Iterator[tuple[int, int]]:
-        side, node, label, size, bits, shared = zip(*group, strict=True)
-        shared = [set(x) for x in shared]
-        least = min(map(len, bits))
-        sketch = np.stack([_folded(np.frombuffer(b, np.uint8), least) for b in bits]).view(np.uint64)
+        side, node, label, size, sketches, shared = zip(*group, strict=True)
+        least = min(map(len, sketches))
+        sketch = np.stack([_folded(s, least) for s in sketches]).view(np.uint64)
         side, label, size = np.array(side), np.array(label), np.array(size)
         first = np.flatnonzero(side == side.min())
         second = np.flatnonzero(side == side.max())
@@ -344,31 +345,30 @@ def _across(rows: DataFrame, sketches: DataFrame) -> DataFrame:
         fits = (label[first][:, None] != label[second][None, :]) & (9 * apart <= s + t) & (5 * np.minimum(s, t) >= 4 * np.maximum(s, t))
         for x, y in zip(*np.nonzero(fits), strict=True):
             i, j = first[x], second[y]
-            if node[i] != node[j] and min(shared[i] & shared[j]) == sig:
+            if node[i] != node[j] and np.intersect1d(shared[i], shared[j], assume_unique=True)[0] == sig:
                 yield min(node[i], node[j]), max(node[i], node[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, group = None, []
-        ready: set[tuple[int, int]] = set()
 
         def out():
-            found = list(ready)
-            ready.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
+            """The group's pairs, some thousands at a time."""
+            if len(group) > 1 and (last[1] == last[2] or len({r[0] for r in group}) == 2):
+                found = pairs(last[0], group)
+                while part := list(islice(found, PAIRS_AT_ONCE)):
+                    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            for sig, low, high, *row in zip(*[batch.column(c).to_pylist() for c in batch.schema.names], strict=True):
-                if (sig, low, high) != last:
-                    if len(group) > 1 and (last[1] == last[2] or len({r[0] for r in group}) == 2):
-                        ready.update(pairs(last[0], group))
-                    last, group = (sig, low, high), []
-                    if len(ready) > 50_000:
-                        yield out()
-                group.append(tuple(row))
-        if len(group) > 1 and (last[1] == last[2] or len({r[0] for r in group}) == 2):
-            ready.update(pairs(last[0], group))
-        if ready:
-            yield out()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                numbers = [batch.column(c).to_pylist() for c in ("sig", "_low", "_high", "_side", "node", "label", "n")]
+                for sig, low, high, side, node, label, n, bits, sigs in zip(*numbers, batch.column("bits"), batch.column("_sigs"), strict=True):
+                    if (sig, low, high) != last:
+                        yield from out()
+                        last, group = (sig, low, high), []
+                    # arrays of their own: a row kept must not hold its batch
+                    group.append((side, node, label, n, np.frombuffer(bits.as_py(), np.uint8), sigs.values.to_numpy().copy()))
+        yield from out()
 
     chunks = F.ceil(F.col("_nodes") / CHUNK_NODES).cast("int")
     every = rows.groupBy("node").agg(F.collect_list("sig").alias("_sigs"))  # bounded by the set's own signatures
